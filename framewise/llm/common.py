@@ -7,9 +7,14 @@ import shutil
 import tempfile
 import uuid
 
+import framewise
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Tasks get this library's functions by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(framewise)
+
 _OWN: dict[str, str] = {}
 
 
