@@ -1,7 +1,7 @@
 """Byte-level BPE by a fold of ranked merges in Spark's higher-order functions.
 
-A text is split by the tokenizer's pattern; each match is encoded by itself: an array of one-byte binaries is folded, every step joining all
-places of the neighbouring pair with the lowest rank, until no pair has a rank. Ranks come from a literal map; Spark searches a map literal
+A text is split by the tokenizer's pattern; each match is encoded by itself: an array of one-byte binaries is folded, every step joining the
+leftmost neighbouring pair of the lowest rank, until no pair has a rank. Ranks come from a literal map; Spark searches a map literal
 from its start, so the literal is an array of small maps that the pair's hash selects from.
 
 The same words recur, so each is folded once where that pays: words are counted over the whole corpus, the ``COMMON`` most frequent are
@@ -33,7 +33,7 @@ from .common import small_batches
 COMMON = 300_000
 #: Distinct words that a counting task holds before it sends them on.
 HELD = 500_000
-CELLS = 8192
+CELLS = 32768
 _BLANK = regex.compile(r"(?<=\S)(?= \S)")
 
 
@@ -81,24 +81,20 @@ def with_ids(words: DataFrame, word_col: str, ranks: dict[bytes, int]) -> DataFr
 
 
 def fold_sql(word: str, ranks: str) -> str:
-    """SQL for the ids of one word. Its bytes are an array of binary pieces written in hex, which joins as the bytes do."""
-    rank = lambda piece: f"{ranks}[cast(crc32({piece}) % {CELLS} as int)][{piece}]"
+    """SQL for the ids of one word. Its bytes are an array of pieces written in hex, which joins as the bytes do, between two marks that have
+    no rank with anything. Each step of the fold joins the leftmost pair of the lowest rank and ranks the two pairs that this makes."""
     none = 2147483647
-    # the ranks of the neighbouring pairs, the lowest of them, and the array with the lowest joined wherever it stands, from the left
-    pairs = f"transform(slice(acc, 2, size(acc) - 1), (b, i) -> coalesce({rank('concat(acc[i], b)')}, {none}))"
-    joined = (
-        "aggregate(acc, named_struct('out', cast(array() as array<string>), 'i', 0, 'skip', false), (s, p) -> "
-        "if(s.skip, named_struct('out', s.out, 'i', s.i + 1, 'skip', false), "
-        "if(s.i < size(rs) and rs[s.i] = low, "
-        "named_struct('out', array_append(s.out, concat(p, acc[s.i + 1])), 'i', s.i + 1, 'skip', true), "
-        "named_struct('out', array_append(s.out, p), 'i', s.i + 1, 'skip', false))), s -> s.out)"
-    )
-    merged = f"transform(array({pairs}), rs -> transform(array(array_min(rs)), low -> if(low = {none}, named_struct('acc', acc, 'over', true), named_struct('acc', {joined}, 'over', false)))[0])[0]"
-    step = f"if(st.over or size(st.acc) < 2, named_struct('acc', st.acc, 'over', true), transform(array(st.acc), acc -> {merged})[0])"
-    chars = f"regexp_extract_all(hex({word}), '..', 0)"
-    # at most one step for each byte but the last
-    start = f"named_struct('acc', {chars}, 'over', false)"
-    folded = f"aggregate(sequence(1, greatest(1, octet_length({word}) - 1)), {start}, (st, n) -> {step}, st -> st.acc)"
+    rank = lambda piece: f"{ranks}[cast(crc32({piece}) % {CELLS} as int)][{piece}]"
+    ranked = lambda piece: f"coalesce({rank(piece)}, {none})"
+    let = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
+    chars = f"concat(array('-'), regexp_extract_all(hex({word}), '..', 0), array('-'))"
+    start = let(chars, "cs", f"named_struct('acc', cs, 'rs', transform(slice(cs, 2, size(cs) - 1), (b, i) -> {ranked('concat(cs[i], b)')}))")
+    acc = "concat(slice(st.acc, 1, p - 1), array(m), slice(st.acc, p + 2, size(st.acc)))"
+    rs = f"concat(slice(st.rs, 1, p - 2), array({ranked('concat(st.acc[p - 2], m)')}, {ranked('concat(m, st.acc[p + 1])')}), slice(st.rs, p + 2, size(st.rs)))"
+    joined = let("cast(array_position(st.rs, low) as int)", "p", let("concat(st.acc[p - 1], st.acc[p])", "m", f"named_struct('acc', {acc}, 'rs', {rs})"))
+    step = let("array_min(st.rs)", "low", f"if(low = {none}, st, {joined})")
+    # each step joins one pair, so there are at most as many as bytes
+    folded = f"aggregate(sequence(1, greatest(1, octet_length({word}))), {start}, (st, n) -> {step}, st -> slice(st.acc, 2, size(st.acc) - 2))"
     return f"transform({folded}, p -> {rank('p')})"
 
 
