@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import per_process, small_batches
 
 COMMON = 300_000
 #: Distinct words that a counting task holds before it sends them on.
@@ -103,7 +103,7 @@ def common_words(docs: DataFrame, pattern: str, text_col: str = "text", most: in
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, parts = Splitter(pattern), Counter()
+        split, parts = per_process(("splitter", pattern), lambda: Splitter(pattern)), Counter()
 
         def words() -> pa.RecordBatch:
             total: Counter[str] = Counter()
@@ -134,7 +134,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = shared.value, Splitter(pattern)
+        known, split = shared.value, per_process(("splitter", pattern), lambda: Splitter(pattern))
         for batch in batches:
             out = [
                 list(dict.fromkeys(w for part in set(split.parts(text)) for w in split.words(part) if w not in known))
@@ -143,7 +143,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = shared.value, Splitter(pattern)
+        known, split = shared.value, per_process(("splitter", pattern), lambda: Splitter(pattern))
         whole: dict[str, bytes] = {}
         for batch in batches:
             out = []

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import framewise
 from pyspark import cloudpickle
@@ -54,6 +57,14 @@ def dropped(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def per_process(key: tuple, make: Callable):
+    """``make()``, once in each Python process: what a worker has learned serves its later tasks. The caller bounds what it holds."""
+    kept = sys.modules.setdefault("_framewise_worker", types.ModuleType("_framewise_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

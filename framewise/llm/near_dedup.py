@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import per_process, saved, small_batches
 
 TREES, DEPTH, LEAST, REACH = 20, 6, 3, 4
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEP
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        shingles = Shingler(width)
+        shingles = per_process(("shingler", width), lambda: Shingler(width))
         for batch in batches:
             n, names, sigs = [], [], []
             for text in batch.column(1).to_pylist():
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs ``a, b`` whose full sets have ``100 * intersection >= percent * union``; ``texts`` has ``doc_id, text``."""
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles = per_process(("shingler", width), lambda: Shingler(width))
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

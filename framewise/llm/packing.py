@@ -15,6 +15,8 @@ packed each; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,38 +27,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, saved, small_batches
+from .common import per_process, saved, small_batches
 
 SIZE = 4096
 END = 1
-CACHE = 400_000
+#: Words, and pieces, that a worker keeps.
+CACHE = 600_000
 NODES = 4000
 
 Plan = list[tuple[dict[int, int], int]]
 
 
+#: A word of plain letters and the signs that follow it, which the tokenizer takes apart in the same place; case is dropped by the tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#&*%$()\"/-]*)")
+
+
 class WordIds:
-    """Ids of a text by a tokenizer whose tokens never hold white space: pieces between blanks are encoded once and kept."""
+    """Ids of a text by a tokenizer whose tokens never hold white space and never cross from letters to signs, and which lower-cases: what
+    stands between blanks is encoded once and kept, and shares its letters' ids with the same word in another case or before other signs."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known = self._Known(self)
-
-    class _Known(dict):
-        def __init__(self, outer: WordIds):
-            super().__init__()
-            self.outer = outer
-
-        def __missing__(self, word: str) -> bytes:
-            ids = np.array(self.outer.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self) >= CACHE:
-                self.clear()
-            if len(word) < 64:
-                self[word] = ids
-            return ids
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+
+        def encoded(word: str) -> bytes:
+            return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+        class Words(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= CACHE:
+                    self.clear()
+                if len(word) > 64:
+                    return encoded(word)
+                self[word] = ids = encoded(word)
+                return ids
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                plain = _PLAIN.fullmatch(piece)
+                ids = words[plain[1].lower()] + (words[plain[2]] if plain[2] else b"") if plain else words[piece]
+                if len(self) >= CACHE:
+                    self.clear()
+                if len(piece) <= 64:
+                    self[piece] = ids
+                return ids
+
+        words = Words()
+        self.known = Pieces()
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
@@ -68,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seen, task = WordIds(tokenizer), defaultdict(int), TaskContext.get().partitionId()
+        ids_of, seen, task = per_process(("word ids", tokenizer), lambda: WordIds(tokenizer)), defaultdict(int), TaskContext.get().partitionId()
         tail, width = np.array([end], "<u4").tobytes(), 4 * size
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
@@ -163,6 +182,7 @@ def bin_completion(counts: dict[int, int], size: int = SIZE) -> Plan:
     spare = (bins - 1) * size - total
     if spare < 0:
         return incumbent  # no plan can use fewer
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * size + 1000))
     left, plan = dict(counts), []
     while left:
         lengths = sorted(left, reverse=True)
