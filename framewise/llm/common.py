@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import shutil
 import sys
 import tempfile
@@ -65,6 +66,19 @@ def per_process(key: tuple, make: Callable):
     return kept[key]
 
 
+class Shared:
+    """A value broadcast by value, classes of this library included; ``value`` is read once in each task."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self._value = pickle.loads(self._held.value)
+        return self._value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

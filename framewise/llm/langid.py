@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Shared, small_batches
 
 WINDOW = 256
 #: Rows of each language that training may read, and windows of each of them.
@@ -146,26 +146,28 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` without ``text_col``, with the predicted language and its probability."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(net)
+    model = Shared(docs.sparkSession, net)
     rest = [c for c in docs.columns if c not in (text_col, lang_col, score_col)]
     letter = regex.compile(r"\p{L}")
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for pdf in batches:
-            langs, scores = ["und"] * len(pdf), np.zeros(len(pdf))
-            place, held, n = [], [], 0
+        for batch in batches:
+            langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
+            place: list[int] = []
+            held: list[np.ndarray] = []
 
             def flush(place=place, held=held, langs=langs, scores=scores):
                 probs = net.predict(np.concatenate(held))
-                starts = np.cumsum([0, *(len(w) for w in held[:-1])])
-                mean = np.add.reduceat(probs, starts, axis=0, dtype=np.float64) / np.array([len(w) for w in held])[:, None]
+                sizes = np.array([len(w) for w in held])
+                mean = np.add.reduceat(probs, sizes.cumsum() - sizes, axis=0, dtype=np.float64) / sizes[:, None]
                 for i, k, s in zip(place, mean.argmax(axis=1), mean.max(axis=1), strict=True):
                     langs[i], scores[i] = net.langs[k], min(1.0, float(s))
                 place.clear()
                 held.clear()
 
-            for i, text in enumerate(pdf["__text"]):
+            n = 0
+            for i, text in enumerate(batch.column(0).to_pylist()):
                 if net.langs and text is not None and letter.search(text):
                     place.append(i)
                     held.append(windows_of(text.encode("utf-8", "replace")))
@@ -175,11 +177,17 @@ def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str
                         n = 0
             if held:
                 flush()
-            yield pdf.drop(columns="__text").assign(**{lang_col: langs, score_col: scores})
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], lang_col, score_col])
 
-    source = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("__text"))
+    source = docs.select(F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in rest))
     schema = source.drop("__text").schema.add(lang_col, "string").add(score_col, "double")
-    return source.mapInPandas(scored, schema)
+    return source.mapInArrow(scored, schema)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that get a language, with its columns: null texts and those without a letter go. Learns from ``docs`` itself."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    return predict(rows, train(docs)).filter("lang_pred <> 'und'").select("row.*")
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
