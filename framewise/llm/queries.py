@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, langid, lm, near_dedup, packing, pii, topk, warc
+from . import byte_bpe, langid, lm, near_dedup, packing, pii, repeats, topk, warc
 from . import exact_dedup as exact
 from .common import table
 
@@ -18,6 +18,10 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
@@ -64,6 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_packing": op2_packing,
     "op3_lm_score": op3_lm_score,
     "op4_warc": op4_warc,
