@@ -4,8 +4,8 @@ A text is split by the tokenizer's pattern; each match is encoded by itself: an
 leftmost neighbouring pair of the lowest rank, until no pair has a rank. Ranks come from a literal map; Spark searches a map literal
 from its start, so the literal is an array of small maps that the pair's hash selects from.
 
-The same words recur, so each is folded once where that pays: words are counted over the whole corpus, the ``COMMON`` most frequent are
-folded and given to all tasks as a dictionary of bounded size, and the rest, rare by definition, are folded in the rows where they stand.
+The same words recur, so each is folded once where that pays: words are counted over the whole corpus, up to ``COMMON`` of the most
+frequent are folded and given to all tasks in arrays of bounded size, by 64-bit hash, and the rest, rare by definition, are folded in the rows where they stand.
 Nothing is dropped: which way a word takes never changes its ids. Decoding concatenates the ids' binary pieces.
 
 Defined cases: null texts count as empty and have no ids; an empty table gives an empty result; repeated rows are encoded each; extra
@@ -17,24 +17,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_process, small_batches
+from .common import Shared, saved, small_batches
 
-COMMON = 300_000
+COMMON = 600_000
 #: Distinct words that a counting task holds before it sends them on.
-HELD = 500_000
+HELD = 300_000
 CELLS = 32768
 _BLANK = regex.compile(r"(?<=\S)(?= \S)")
+#: White space other than single blanks and line feeds apart from blanks.
+_ODD = re.compile(r"[^\S\n ]|  | \n|\n ")
+#: A blank, letters and then signs; whatever the letters, the pattern matches both parts by themselves.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#&*%$()\"/-]*)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,26 +48,51 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Splitter:
-    """Splits texts into the pattern's matches. A blank between two other characters always begins a match, so a text is first cut there, and
-    what stands between two such blanks is matched once and kept."""
+    """Splits texts into the pattern's matches. A blank between two other characters always begins a match, so a text is first cut there."""
 
-    def __init__(self, pattern: str, limit: int = 400_000):
-        self.pattern, self.limit, self.seen = regex.compile(pattern), limit, {}
+    def __init__(self, pattern: str):
+        self.pattern = regex.compile(pattern)
 
     def parts(self, text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or text[:1] == " " or text[-1:] == " " or not text.isascii():
-            return _BLANK.split(text) if text else []
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
+        if not text:
+            return []
+        if text[0] == " " or text[-1] == " " or _ODD.search(text):
+            return _BLANK.split(text)
+        out = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _BLANK.split(text)
+        return out
 
     def words(self, part: str) -> list[str]:
-        found = self.seen.get(part)
-        if found is None:
-            found = [m.group() for m in self.pattern.finditer(part)]
-            if len(self.seen) >= self.limit:
-                self.seen.clear()
-            self.seen[part] = found
-        return found
+        plain = _PLAIN.fullmatch(part)
+        if plain:
+            return [plain[1], plain[2]] if plain[2] else [plain[1]]
+        return self.pattern.findall(part)
+
+
+class Known:
+    """Ids of many words in three arrays: words' 64-bit hashes in order, where each one's ids begin, and the ids."""
+
+    def __init__(self, words: list[str], ids: pa.ListArray):
+        hashes = self.hashes(words)
+        order = np.argsort(hashes)
+        sizes = np.diff(ids.offsets.to_numpy())[order]
+        self.names, self.starts = hashes[order], np.concatenate([[0], sizes.cumsum()])
+        starts, flat = ids.offsets.to_numpy()[:-1][order], ids.values.to_numpy()
+        self.ids = flat[np.repeat(starts - self.starts[:-1], sizes) + np.arange(self.starts[-1])].astype("<u4") if len(order) else np.zeros(0, "<u4")
+
+    @staticmethod
+    def hashes(words: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Places of the words, -1 where unknown."""
+        if not len(self.names):
+            return np.full(len(words), -1)
+        h = self.hashes(words)
+        at = np.minimum(np.searchsorted(self.names, h), len(self.names) - 1)
+        return np.where(self.names[at] == h, at, -1)
+
+    def bytes(self, place: int) -> bytes:
+        return self.ids[self.starts[place] : self.starts[place + 1]].tobytes()
 
 
 def rank_literal(ranks: dict[bytes, int]) -> str:
@@ -99,80 +129,98 @@ def fold_sql(word: str, ranks: str) -> str:
 
 
 def common_words(docs: DataFrame, pattern: str, text_col: str = "text", most: int = COMMON) -> DataFrame:
-    """The ``most`` most frequent words of all rows: ``word, n``; counts are combined in the tasks before they are sent."""
+    """The most frequent words of all rows, ``word, n``: those seen as often as a number that at most ``most`` words reach, twice at least."""
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, parts = per_process(("splitter", pattern), lambda: Splitter(pattern)), Counter()
+        split, total = Splitter(pattern), Counter()
 
-        def words() -> pa.RecordBatch:
-            total: Counter[str] = Counter()
-            for part, n in parts.items():
-                for w in split.words(part):
-                    total[w] += n
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            total.clear()
+            return out
 
         for batch in batches:
+            parts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 parts.update(split.parts(text or ""))
-            if len(parts) >= HELD:
-                yield words()
-        yield words()
+            for part, n in parts.items():
+                for w in split.words(part):
+                    total[w] += n
+            if len(total) >= HELD:
+                yield rows()
+        yield rows()
 
     found = docs.select(text_col).mapInArrow(counted, "word string, n long")
-    return found.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    words = saved(found.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "words")
+    least, held = 2, 0
+    for r in words.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        held += r["words"]
+        if held > most:
+            least = r["n"] + 1
+            break
+    return words.filter(F.col("n") >= least)
+
+
+Finish = Callable[[list[bytes]], list[pa.Array]]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
-    """Per row: ``doc_id, ids`` (little-endian unsigned 32-bit, as binary)."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, finish: tuple[Finish, str] | None = None) -> DataFrame:
+    """Per row: ``doc_id, ids`` (little-endian unsigned 32-bit, as binary), or what ``finish`` (a function of those and its schema) makes of them."""
     spark: SparkSession = docs.sparkSession
     frequent = common_words(docs, pattern, text_col, common).select(F.array("word").alias("word"))
-    folded = with_ids(frequent, "word", ranks).select(F.col("word")[0].alias("word"), F.col("ids")[0].alias("ids")).toArrow()
-    known = dict(zip(folded.column(0).to_pylist(), (np.array(x, "<u4").tobytes() for x in folded.column(1).to_pylist()), strict=True))
-    shared = spark.sparkContext.broadcast(known)
+    folded = with_ids(frequent, "word", ranks).select(F.col("word")[0].alias("word"), F.col("ids")[0].alias("ids")).toArrow().combine_chunks()
+    words, ids = folded.column(0), folded.column(1)
+    one = lambda c, t: c.chunk(0) if c.num_chunks else pa.array([], t)
+    shared = Shared(spark, Known(words.to_pylist(), one(ids, pa.list_(pa.int32()))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def of_batch(split: Splitter, texts: list[str]) -> tuple[list[list[str]], dict[str, list[str]], dict[str, int]]:
+        """Parts of each text, words of each part, places of each word."""
+        parts = [split.parts(t) for t in texts]
+        by_part = {p: split.words(p) for p in set().union(*parts)}
+        words = list({w for ws in by_part.values() for w in ws})
+        return parts, by_part, dict(zip(words, shared.value.find(words).tolist(), strict=True))
+
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = shared.value, per_process(("splitter", pattern), lambda: Splitter(pattern))
+        split = Splitter(pattern)
         for batch in batches:
-            out = [
-                list(dict.fromkeys(w for part in set(split.parts(text)) for w in split.words(part) if w not in known))
-                for text in batch.column(1).to_pylist()
-            ]
+            parts, by_part, places = of_batch(split, batch.column(1).to_pylist())
+            some = {p: ws for p, ws in by_part.items() if any(places[w] < 0 for w in ws)}
+            out = [list(dict.fromkeys(w for p in some.keys() & ps for w in some[p] if places[w] < 0)) for ps in map(set, parts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = shared.value, per_process(("splitter", pattern), lambda: Splitter(pattern))
-        whole: dict[str, bytes] = {}
+        split = Splitter(pattern)
         for batch in batches:
-            out = []
-            for text, words, ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                own = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, ids, strict=True)}
-                data = []
-                for part in split.parts(text):
-                    found = whole.get(part)
-                    if found is None:
-                        names = split.words(part)
-                        found = b"".join([known.get(w) or own[w] for w in names])
-                        if len(whole) >= COMMON:
-                            whole.clear()
-                        if all(w in known for w in names):
-                            whole[part] = found
-                    data.append(found)
-                out.append(b"".join(data))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
+            own: dict[str, bytes] = {}
+            for words, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for w, x in zip(words, ids, strict=True):
+                    own[w] = np.array(x, "<u4").tobytes()
+            parts, by_part, places = of_batch(split, batch.column(1).to_pylist())
+            known = shared.value
+            word = {w: known.bytes(k) if k >= 0 else own[w] for w, k in places.items()}
+            whole = {p: b"".join([word[w] for w in ws]) for p, ws in by_part.items()}
+            out = [b"".join(map(whole.__getitem__, ps)) for ps in parts]
+            arrays = finish[0](out) if finish else [pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
+
+    schema = finish[1] if finish else "ids binary"
+    names = [c.split()[0] for c in schema.split(", ")]
     found = rows.mapInArrow(rare, "doc_id long, text string, rare array<string>")
-    return with_ids(found, "rare", ranks).mapInArrow(assembled, "doc_id long, ids binary")
+    return with_ids(found, "rare", ranks).mapInArrow(assembled, f"doc_id long, {schema}")
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Per row: ``doc_id, bytes``, the ids' pieces one after another; an id outside the vocabulary is an error."""
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces)
+    return pieces
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """Per row: ``doc_id, bytes``, the ids' pieces one after another; an id outside the vocabulary is an error."""
+    shared = Shared(encoded.sparkSession, _pieces(ranks))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,22 +230,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
     return encoded.select(F.col(id_col).alias("doc_id"), ids_col).mapInArrow(joined, "doc_id long, bytes binary")
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded rows."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    shared = encoded.sparkSession.sparkContext.broadcast((pieces, [str(i) for i in range(len(pieces))]))
-
-    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, names = shared.value
-        for pdf in batches:
-            ids = [np.frombuffer(x, "<u4").tolist() for x in pdf["ids"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": [len(x) for x in ids],
-                "ids_sha256": [hashlib.sha256(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(b"".join(map(pieces.__getitem__, x))).hexdigest() for x in ids],
-            })
-
-    return encoded.mapInPandas(digested, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, common: int = COMMON) -> DataFrame:
+    """Encode, then decode the ids: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
+    shared = Shared(docs.sparkSession, _pieces(ranks))
+
+    def finish(encoded: list[bytes]) -> list[pa.Array]:
+        pieces = shared.value
+        ids = [np.frombuffer(x, "<u4").tolist() for x in encoded]
+        shown = [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]
+        decoded = [hashlib.sha256(b"".join(map(pieces.__getitem__, x))).hexdigest() for x in ids]
+        return [pa.array([len(x) for x in ids], pa.int64()), pa.array(shown), pa.array(decoded)]
+
+    return encode(docs, ranks, pattern, common=common, finish=(finish, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
