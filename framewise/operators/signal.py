@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .sequence import carried, running
 
 KEY = ["media_id"]
-THRESHOLD = 0.2
+THRESHOLD, PEAK_THRESHOLD = 0.2, 0.5
 CHUNK = 16_384
 HAS, NO, UNKNOWN = "Has", "No", "Unknown"
 
@@ -31,12 +31,13 @@ def raw_score(corr0: str = "corr0", corr1: str = "corr1") -> Column:
 
 
 def judged(scores: DataFrame, fps: float) -> DataFrame:
-    """With ``median`` and ``vote`` of the rolling mean and the rolling median, Unknown where they disagree or one is undecided.
+    """With ``median`` of half a second, and ``vote``: Unknown where two votes differ or both are undecided.
 
-    Before both, every frame takes the smaller of the largest scores of the half second before and after it, itself excluded; the ends repeat.
+    One is on the mean of a second; the other, with a higher threshold, on the smaller of the largest scores of the half second before and after
+    the frame, itself excluded. Beyond the ends, the first and the last score repeat.
     """
     reach, median_half = half(fps, 1.0), half(fps, 0.5)
-    pad = 2 * reach + median_half
+    pad = max(reach, median_half) + 1
     last = scores.groupBy("media_id").agg(F.max("display_idx").alias("_last"), F.max_by("raw", "display_idx").alias("_tail"), F.min_by("raw", "display_idx").alias("_head"))
     ends = last.select("media_id", F.explode(F.expr(f"concat(sequence(-{pad}, -1), sequence(_last + 1, _last + {pad}))")).alias("display_idx"), "_head", "_tail")
     ends = ends.select("media_id", "display_idx", F.when(F.col("display_idx") < 0, F.col("_head")).otherwise(F.col("_tail")).alias("raw"))
@@ -46,14 +47,14 @@ def judged(scores: DataFrame, fps: float) -> DataFrame:
     rows = rows.select("*", own.alias("_own"), F.explode(around).alias("_chunk"))
     w = Window.partitionBy("media_id", "_chunk").orderBy("display_idx")
     reach_out = lambda a, b: w.rowsBetween(a, b)
-    rows = rows.withColumn("dilated", F.least(F.max("raw").over(reach_out(-reach, -1)), F.max("raw").over(reach_out(1, reach))))
     rows = rows.withColumns({
-        "mean": F.avg("dilated").over(reach_out(-reach, reach)),
-        "median": F.expr(f"percentile(dilated, 0.5) over (partition by media_id, _chunk order by display_idx rows between {median_half} preceding and {median_half} following)"),
+        "peak": F.least(F.max("raw").over(reach_out(-reach, -1)), F.max("raw").over(reach_out(1, reach))),
+        "mean": F.avg("raw").over(reach_out(-reach, reach)),
+        "median": F.expr(f"percentile(raw, 0.5) over (partition by media_id, _chunk order by display_idx rows between {median_half} preceding and {median_half} following)"),
     })
     rows = rows.filter("_chunk = _own").join(last.select("media_id", "_last"), "media_id").filter("display_idx between 0 and _last")
-    a, b = vote("mean"), vote("median")
-    return rows.select("media_id", "display_idx", "raw", "mean", "median", F.when(a == b, a).otherwise(UNKNOWN).alias("vote"))
+    a, b = vote("peak", PEAK_THRESHOLD), vote("mean")
+    return rows.select("media_id", "display_idx", "raw", "peak", "mean", "median", F.when(a == b, a).otherwise(UNKNOWN).alias("vote"))
 
 
 def vote(column: str, threshold: float = THRESHOLD) -> Column:

@@ -516,9 +516,9 @@ def report_times(spark, d):
 
 VOTES = """+ z AS (SELECT arg_min(raw, display_idx) AS head, arg_max(raw, display_idx) AS tail, max(display_idx) AS last FROM scores),
 pad AS (SELECT display_idx, raw FROM scores UNION ALL SELECT i, CASE WHEN i < 0 THEN head ELSE tail END FROM z, (SELECT unnest(range(-38, 0)) AS i UNION ALL SELECT unnest(range(last + 1, last + 39)) FROM z)),
-d AS (SELECT *, least(max(raw) OVER (ORDER BY display_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), max(raw) OVER (ORDER BY display_idx ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING)) AS dil FROM pad),
-w AS (SELECT *, avg(dil) OVER (ORDER BY display_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS mean, median(dil) OVER (ORDER BY display_idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS median FROM d),
-v AS (SELECT display_idx, median, CASE WHEN abs(mean) < 0.2 THEN 'Unknown' WHEN mean > 0 THEN 'Has' ELSE 'No' END AS a, CASE WHEN abs(median) < 0.2 THEN 'Unknown' WHEN median > 0 THEN 'Has' ELSE 'No' END AS b FROM w, z WHERE display_idx BETWEEN 0 AND last),
+d AS (SELECT *, least(max(raw) OVER (ORDER BY display_idx ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), max(raw) OVER (ORDER BY display_idx ROWS BETWEEN 1 FOLLOWING AND 15 FOLLOWING)) AS peak FROM pad),
+w AS (SELECT *, avg(raw) OVER (ORDER BY display_idx ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING) AS mean, median(raw) OVER (ORDER BY display_idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS median FROM d),
+v AS (SELECT display_idx, median, CASE WHEN abs(peak) < 0.5 THEN 'Unknown' WHEN peak > 0 THEN 'Has' ELSE 'No' END AS a, CASE WHEN abs(mean) < 0.2 THEN 'Unknown' WHEN mean > 0 THEN 'Has' ELSE 'No' END AS b FROM w, z WHERE display_idx BETWEEN 0 AND last),
 vote AS (SELECT display_idx, median, CASE WHEN a = b THEN a ELSE 'Unknown' END AS vote FROM v),
 nb AS (SELECT *, coalesce(last_value(CASE WHEN vote <> 'Unknown' THEN vote END IGNORE NULLS) OVER (ORDER BY display_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'No') AS l,
 coalesce(first_value(CASE WHEN vote <> 'Unknown' THEN vote END IGNORE NULLS) OVER (ORDER BY display_idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 'No') AS r FROM vote),

@@ -36,7 +36,7 @@ def parse_trim(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``Trim(a,b) ++ Trim(c,d)``, ends included, to half-open ranges. Ranges ascend; they may touch."""
     tokens = files.select("media_id", F.posexplode(F.split(F.trim("text"), r"\+\+")).alias("range_id", "token")).withColumn("token", F.regexp_replace("token", r"^\s+|\s+$", ""))
     inner = F.regexp_extract("token", r"^Trim\((.*)\)$", 1)
-    fields = F.transform(F.split(inner, ","), F.trim)
+    fields = F.transform(F.split(inner, ","), lambda x: F.trim(x))
     n = lambda i: F.get(fields, F.lit(i)).try_cast("decimal(20,0)")
     rows = tokens.withColumns({"ok": F.col("token").rlike(r"^Trim\(.*\)$") & (F.size(fields) == 2), "s": n(0), "e": n(1)})
     plain = F.forall(fields, lambda f: f.rlike("^[0-9]+$"))
