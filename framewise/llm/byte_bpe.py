@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from .common import Shared, saved, small_batches
 
 COMMON = 600_000
-#: Distinct words that a counting task holds before it sends them on.
+#: Distinct parts of texts that a counting task holds before it sends them on.
 HELD = 300_000
 CELLS = 32768
+#: Marks a word that the row folds itself; ids are below it. Parts that a task keeps between batches.
+HOLE, KEPT = 1 << 31, 250_000
 _BLANK = regex.compile(r"(?<=\S)(?= \S)")
 #: White space other than single blanks and line feeds apart from blanks.
 _ODD = re.compile(r"[^\S\n ]|  | \n|\n ")
@@ -133,21 +135,21 @@ def common_words(docs: DataFrame, pattern: str, text_col: str = "text", most: in
     small_batches(docs.sparkSession)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, total = Splitter(pattern), Counter()
+        split = Splitter(pattern)
+        parts: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-            total.clear()
-            return out
+            total: Counter[str] = Counter()
+            for part, n in parts.items():
+                for w in split.words(part):
+                    total[w] += n
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            parts: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
                 parts.update(split.parts(text or ""))
-            for part, n in parts.items():
-                for w in split.words(part):
-                    total[w] += n
-            if len(total) >= HELD:
+            if len(parts) >= HELD:
                 yield rows()
         yield rows()
 
@@ -175,39 +177,66 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     shared = Shared(spark, Known(words.to_pylist(), one(ids, pa.list_(pa.int32()))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def of_batch(split: Splitter, texts: list[str]) -> tuple[list[list[str]], dict[str, list[str]], dict[str, int]]:
-        """Parts of each text, words of each part, places of each word."""
-        parts = [split.parts(t) for t in texts]
-        by_part = {p: split.words(p) for p in set().union(*parts)}
-        words = list({w for ws in by_part.values() for w in ws})
-        return parts, by_part, dict(zip(words, shared.value.find(words).tolist(), strict=True))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of the known words, in their places; where another word stands, ``HOLE`` and its number among the row's other words."""
+        split, known = Splitter(pattern), shared.value
+        whole: dict[str, bytes] = {}  # parts of known words only
         for batch in batches:
-            parts, by_part, places = of_batch(split, batch.column(1).to_pylist())
-            some = {p: ws for p, ws in by_part.items() if any(places[w] < 0 for w in ws)}
-            out = [list(dict.fromkeys(w for p in some.keys() & ps for w in some[p] if places[w] < 0)) for ps in map(set, parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "text", "rare"])
+            parts = [split.parts(t) for t in batch.column(1).to_pylist()]
+            new = {p: split.words(p) for p in set().union(*parts) - whole.keys()}
+            names = list({w for ws in new.values() for w in ws})
+            at = known.find(names)
+            word = {w: known.bytes(k) if k >= 0 else w for w, k in zip(names, at.tolist(), strict=True)}
+            mixed: dict[str, list[bytes | str]] = {}
+            for p, ws in new.items():
+                found = [word[w] for w in ws]
+                if str in map(type, found):
+                    mixed[p] = found
+                else:
+                    whole[p] = b"".join(found)
+            ids, rare = [], []
+            for ps in parts:
+                own: dict[str, bytes] = {}
+                out = []
+                for p in ps:
+                    known_ids = whole.get(p)
+                    if known_ids is None:
+                        for x in mixed[p]:
+                            if type(x) is str:
+                                hole = own.get(x)
+                                if hole is None:
+                                    hole = own[x] = (HOLE + len(own)).to_bytes(4, "little")
+                                x = hole
+                            out.append(x)
+                    else:
+                        out.append(known_ids)
+                ids.append(b"".join(out))
+                rare.append(list(own))
+            if len(whole) > KEPT:
+                whole.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["doc_id", "held", "rare"])
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = Splitter(pattern)
         for batch in batches:
-            own: dict[str, bytes] = {}
-            for words, ids in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                for w, x in zip(words, ids, strict=True):
-                    own[w] = np.array(x, "<u4").tobytes()
-            parts, by_part, places = of_batch(split, batch.column(1).to_pylist())
-            known = shared.value
-            word = {w: known.bytes(k) if k >= 0 else own[w] for w, k in places.items()}
-            whole = {p: b"".join([word[w] for w in ws]) for p, ws in by_part.items()}
-            out = [b"".join(map(whole.__getitem__, ps)) for ps in parts]
+            out = []
+            for held, folded in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if folded:
+                    row = np.frombuffer(held, "<u4")
+                    own = [np.array(x, "<u4").tobytes() for x in folded]
+                    at, pieces = 0, []
+                    for k in np.flatnonzero(row >= HOLE).tolist():
+                        pieces.append(held[at : 4 * k])
+                        pieces.append(own[int(row[k]) - HOLE])
+                        at = 4 * k + 4
+                    pieces.append(held[at:])
+                    held = b"".join(pieces)
+                out.append(held)
             arrays = finish[0](out) if finish else [pa.array(out, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", *names])
 
     schema = finish[1] if finish else "ids binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    found = rows.mapInArrow(rare, "doc_id long, text string, rare array<string>")
+    found = rows.mapInArrow(placed, "doc_id long, held binary, rare array<string>")
     return with_ids(found, "rare", ranks).mapInArrow(assembled, f"doc_id long, {schema}")
 
 
