@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import per_process, saved, small_batches
 
-TREES, DEPTH, LEAST, REACH = 20, 6, 3, 4
+TREES, DEPTH, LEAST, REACH = 20, 6, 3, 2
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
