@@ -10,7 +10,8 @@ suffixes: each shard sorts its suffixes, and keeps what stands before each of th
 by refining their interleave eight bytes at a time, in which only intervals that still hold several suffixes take part and no shard is sorted
 again. Common prefixes of neighbours in the merged order give, for each offset of the anchor, the intervals of suffixes that agree on the
 rest of the string; those that also agree on the bytes before the anchor are repeats. Grams with very many different blocks go another way to
-the same result: their strings are dealt out and counted by a 128-bit hash.
+the same result: what the strings of twenty neighbouring offsets have in common is dealt out and counted by a 128-bit hash, and then, where that
+repeats, the strings themselves.
 
 The plain method, all suffixes of all shards with one pass over the interleave per byte of the longest repeat, needs about 200 passes over the
 corpus; sampling makes that passes over what repeats, with the same result.
@@ -41,6 +42,8 @@ MAP_BITS, SEGMENT_BITS = 27, 18
 SHARD, BLOCKS = 4096, 32_768
 #: Blocks of one gram beyond which its strings are dealt out, and bytes of spans that may be broadcast.
 CROWDED, BROADCAST = 2000, 32 << 20
+#: Offsets of the anchor that are told apart together before single strings are.
+STRATUM = 20
 HELD = 150_000
 _TABLE = np.random.default_rng(40).integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F)]
@@ -272,14 +275,37 @@ def resolved(blocks: DataFrame, crowded: int = CROWDED) -> DataFrame:
     dealt = narrow.select(*columns).repartition("gram").sortWithinPartitions("gram")
     found = dealt.mapInArrow(compared, "name binary, flags binary")
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each stratum of offsets that a block has, the bytes that all strings of that stratum contain."""
         for batch in batches:
-            for name, block, n in zip(*(batch.column(i).to_pylist() for i in (0, 4, 3)), strict=True):
-                k = len(block) - LENGTH + 1
-                keys = [xxhash.xxh3_128_digest(block[i : i + LENGTH]) for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([name] * k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64())], names=["string", "name", "i", "n"])
+            out: list[list] = [[], [], [], []]
+            for name, lead, n, block in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                for k in range((lead - len(block) + LENGTH) // STRATUM, lead // STRATUM + 1):
+                    at = lead - k * STRATUM
+                    core = xxhash.xxh3_128_digest(block[at : at + LENGTH - STRATUM + 1])
+                    for col, x in zip(out, (core, name, k, n), strict=True):
+                        col.append(x)
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["core", "name", "k", "n"])
 
-    dealt = saved(wide.select(*columns).mapInArrow(strings, "string binary, name binary, i int, n long"), "strings")
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of the strata ``ks`` of each block."""
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for name, lead, n, block, ks in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                for k in ks:
+                    for i in range(max(0, lead - k * STRATUM - STRATUM + 1), min(len(block) - LENGTH, lead - k * STRATUM) + 1):
+                        for col, x in zip(out, (xxhash.xxh3_128_digest(block[i : i + LENGTH]), name, i, n), strict=True):
+                            col.append(x)
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["string", "name", "i", "n"])
+
+    # a string can only repeat where its stratum's core does
+    held = saved(wide.select(*columns).mapInArrow(cores, "core binary, name binary, k int, n long"), "cores")
+    shared = saved(held.groupBy("core").agg(F.sum("n").alias("c")).filter("c > 1").select("core"), "shared-cores")
+    strata = saved(held.join(shared, "core").groupBy("name").agg(F.collect_list("k").alias("ks")), "strata")
+    dealt = wide.select(*columns).join(strata, "name").select(*columns, "ks")
+    dealt = saved(dealt.mapInArrow(strings, "string binary, name binary, i int, n long"), "strings")
     twice = saved(dealt.groupBy("string").agg(F.sum("n").alias("c")).filter("c > 1").select("string"), "repeated")
     listed = dealt.filter("n = 1").join(twice, "string").groupBy("name").agg(F.collect_list("i").alias("at"))
 
