@@ -1,14 +1,15 @@
 """Near-duplicate detection by an LSH forest of MinHash signatures, confirmed on full shingle sets.
 
 Documents with the same set form a class, and one member stands for it. A tree of the forest orders the representatives by ``DEPTH`` MinHash
-values, then id; near copies share long prefixes there. In each order every document meets its ``REACH`` predecessors with which it shares at
-least ``LEAST`` leading values: where a region is crowded, the order itself goes deeper, and the neighbours are those with the longest common
-prefix. Orders are made by range partitioning, so a region of any size is spread over tasks, and pairs that straddle two partitions are found
-from the partitions' edges.
+values, then id; near copies share long prefixes there. Documents that share at least ``LEAST`` leading values of an order form a region, and all
+pairs of a region are candidates. In each order every document first meets its ``REACH`` predecessors of its region. Orders are made by range
+partitioning, so a region of any size is spread over tasks, and pairs that straddle two partitions are found from the partitions' edges.
 
-Candidates are confirmed on the documents' full sets, in rounds: the first two take, for every document, the pair that shares most of those
-that still join two components; the last takes every pair that still does, so no candidate that could change a component is left out. Components
-are found by repeated contraction of the links to the smallest neighbour; no task and no driver sees all links.
+These candidates are confirmed on the documents' full sets, in rounds: the first two take, for every document, the pair that shares most of those
+that still join two components; the third takes every pair that still does. What then is left are regions with more documents than predecessors
+reach and more than one component: there every pair of documents of different components is compared on full sets, block against block, so a
+region of any size is spread over tasks, and each task returns only links that join. So no candidate that could change a component is left out.
+Components are found by repeated contraction of the links to the smallest neighbour; no task and no driver sees all links.
 
 Defined cases: null text, and text without words, has the empty set (0 shingles) and is linked with nothing; a text of fewer words than a
 shingle is one shingle; repeated rows share a class; a component's name is its smallest id; an empty table gives an empty result; extra
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import per_process, saved, small_batches
 
 TREES, DEPTH, LEAST, REACH = 20, 6, 3, 2
+#: Documents of a region's block, on average.
+BLOCK = 128
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -201,6 +204,86 @@ def _best(pairs: DataFrame) -> DataFrame:
     return sides.groupBy("doc_id").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
+def joining(ids: list[int], comps: list[int], blocks: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of one block, or of two blocks' documents, that are alike enough and of different components; of those only what joins more."""
+    blocks = np.array(blocks)
+    left = np.flatnonzero(blocks == blocks.min())
+    right = np.flatnonzero(blocks == blocks.max())
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    names, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # what only one document has is in no intersection
+    shared = times[at] > 1
+    at, row = place[at[shared]], row[shared]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    both = np.zeros((len(left), len(right)), np.int64)
+    step = 1 << 15  # bits of a document at once
+    for lo in range(0, int((times > 1).sum()), step):
+        i, j = np.searchsorted(at, (lo, lo + step))
+        has = np.zeros((len(sets), min(step, -(-int(at[-1] + 1 - lo) // 64) * 64)), bool)
+        has[row[i:j], at[i:j] - lo] = True
+        bits = np.packbits(has, axis=1).view(np.uint64)
+        ours = bits[right]
+        for k, n in enumerate(left.tolist()):
+            both[k] += np.bitwise_count(ours & bits[n]).sum(axis=1, dtype=np.int64)
+    comp = np.array(comps)
+    alike = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (comp[left][:, None] != comp[right])
+    x, y = (k[n] for k, n in zip((left, right), np.nonzero(alike), strict=True))
+    _, first = np.unique(np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])]), axis=1, return_index=True)
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    out = []
+    for k in first.tolist():
+        a, b = top(comps[x[k]]), top(comps[y[k]])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((min(ids[x[k]], ids[y[k]]), max(ids[x[k]], ids[y[k]])))
+    return out
+
+
+def crowded(reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int, reach: int = REACH) -> DataFrame:
+    """Links ``a, b`` that join components (``labels``: ``node, comp``) inside the regions that predecessors don't cover; ``docs`` has ``doc_id, text``."""
+    size, head = 4 * DEPTH, 4 * LEAST
+    own = reps.select("doc_id", "sig").join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
+    own = own.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = saved(own.select(F.expr(f"xxhash64(tree, substring(sig, 1 + {size} * tree, {head}))").alias("region"), "doc_id", "comp"), "regions")
+    # regions of the same documents are one: two 64-bit sums without carry tell their members apart
+    hold = [F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (0, 1))]
+    open_ = rows.groupBy("region").agg(*hold, F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("n") > reach + 1) & (F.col("low") < F.col("high")))
+    open_ = saved(open_.groupBy("n", "x0", "x1").agg(F.min("region").alias("region")).select("region"), "open")
+    small = (lambda t: F.broadcast(t)) if open_.count() <= broadcast_ids else (lambda t: t)
+    members = saved(rows.join(small(open_), "region"), "members")
+    # a large component of a region has blocks of its own, which needn't meet each other; the others are dealt out by component
+    sizes = saved(members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    large = sizes.filter(F.col("m") > BLOCK).select("region", "comp", F.ceil(F.col("m") / BLOCK).alias("own"))
+    others = sizes.filter(F.col("m") <= BLOCK).groupBy("region").agg(F.ceil(F.sum("m") / BLOCK).alias("blocks"))
+    dealt = members.join(small(large), ["region", "comp"], "left").join(small(others), "region", "left")
+    block = "if(own IS NULL, pmod(xxhash64(comp, 2), blocks), xxhash64(comp, pmod(xxhash64(doc_id, 2), own)))"
+    dealt = saved(dealt.select("region", "doc_id", "comp", F.expr(block).alias("block"), F.expr("if(own IS NULL, NULL, comp)").alias("alone")), "dealt")
+    blocks = saved(dealt.select("region", "block", "alone").distinct(), "blocks")
+    left, right = (blocks.select("region", F.col("block").alias(k), F.col("alone").alias(f"alone_{k}")) for k in "ij")
+    met = left.join(right, "region").filter("i <= j AND NOT coalesce(alone_i = alone_j, false)").select("region", "i", "j")
+    sides = met.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = dealt.join(small(sides), ["region", "block"]).select("region", "i", "j", "block", "doc_id", "comp")
+    rows = met.join(docs.select("doc_id", "text"), "doc_id").select("region", "i", "j", "block", "doc_id", "comp", "text")
+
+    def compared(group: pa.Table) -> pa.Table:
+        shingles = per_process(("shingler", width), lambda: Shingler(width))
+        i, j, block, ids, comps = (group.column(k).to_pylist() for k in ("i", "j", "block", "doc_id", "comp"))
+        found = []
+        if len(set(comps)) > 1 and (i[0] == j[0] or len(set(block)) > 1):
+            found = joining(ids, comps, block, [shingles(t) for t in group.column("text").to_pylist()], percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return rows.groupBy("region", "i", "j").applyInArrow(compared, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     sigs = saved(signatures(docs, width, id_col=id_col, text_col=text_col), "signatures")
@@ -221,6 +304,9 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         asked = live if last else _best(live)
         links = saved(links.unionByName(confirmed(asked, texts, width, percent)), "confirmed")
     labels = components(links)
+    joined = saved(crowded(reps, labels, rows, width, percent, broadcast_ids), "joined")
+    if not joined.isEmpty():
+        labels = components(links.unionByName(joined))
     named = reps.select("set_id", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = saved(named.select("set_id", F.coalesce("comp", "node").alias("component_id")), "named")
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")

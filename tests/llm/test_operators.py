@@ -297,6 +297,22 @@ def test_near_dedup(docs, empty, width):
     assert near_dedup.near_dedup(empty).count() == 0 and near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_near_dedup_of_a_crowded_region(spark, monkeypatch):
+    """Many documents just below the limit hide a few pairs above it from each other."""
+    rng = random.Random(11)
+    line = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template = line(172)
+    data = {i: " ".join(template + line(24)) for i in range(300)}
+    for i in range(0, 40, 4):  # the copy has two of the tail's words more, so the pair is above
+        data[299 - i] = " ".join(data[i].split()[:176] + line(20))
+    want = brute_components(data, 5)
+    assert len({c for _, c in want.values()}) == 290
+    for block in (near_dedup.BLOCK, 40):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = by_id(near_dedup.near_dedup(spark.createDataFrame(list(data.items()), "doc_id long, text string"), broadcast_ids=0 if block == 40 else 1000))
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     ids = list(range(200))
