@@ -355,6 +355,12 @@ def test_pii(spark, docs, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_pii_without_three_digits_in_a_row(spark):
+    values = ["a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "+44 20 79 46 09 58"]
+    got = by_id(pii.pseudonymise(spark.createDataFrame([(i, f"Ab {v} cd") for i, v in enumerate(values)], "doc_id long, text string")))
+    assert all(got[i]["n_pii"] == 1 and v not in got[i]["text"] for i, v in enumerate(values))
+
+
 def test_pseudonyms_dont_meet(spark):
     rows = spark.range(3000).select(F.format_string("10.0.%d.%d", F.expr("id div 250"), F.col("id") % 250).alias("m"))
     assert rows.select(F.expr(pii.pseudonym("m")).alias("p")).distinct().count() == 3000
