@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import pickle
 import shutil
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import framewise
+import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +90,40 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch that goes to a Python worker, so that long texts fit it.
+BATCH_BYTES = "16m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by fewer bytes, where the session still has Spark's own bound; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release() -> None:
+    """Give free memory of this process back to the system: a worker stays for later tasks, its memory needn't."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes; a task that ends gives its memory back."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from make(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``starts[i], starts[i] + 1, ...`` (``sizes[i]`` of them) of all i, one after another."""
+    ends = sizes.cumsum()
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, saved, small_batches
+from .common import per_process, saved, bounded_batches
 
 TREES, DEPTH, LEAST, REACH = 20, 6, 3, 2
 #: Documents of a region's block, on average.
@@ -75,7 +75,7 @@ class Shingler:
 
 def signatures(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, set_id`` (128 bits of the whole set) and ``sig`` (``trees * depth`` 32-bit MinHash values)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, saved, small_batches
+from .common import per_process, saved, bounded_batches
 
 SIZE = 4096
 END = 1
@@ -83,7 +83,7 @@ class WordIds:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, task, rank`` (its rank among the task's pieces of that length)."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches
+from .common import saved, bounded_batches
 
 LENGTH, GRAM = 200, 40
 OFFSETS = LENGTH - GRAM + 1
@@ -345,7 +345,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, spans``: the removed bytes as little-endian 64-bit pairs, half-open, for documents that have any; ``doc_id, n_bytes, sha256``)."""
-    small_batches(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for r in gram_map(rows).toLocalIterator():  # 16 MB in all

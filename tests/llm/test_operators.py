@@ -249,22 +249,38 @@ def test_directory_splits_overfull_buckets(spark):
 # -- 8 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("common", [0, 20, 600_000])
-def test_byte_bpe(docs, empty, common):
+@pytest.mark.parametrize("chunk", [1, byte_bpe.CHUNK])
+def test_byte_bpe(docs, empty, monkeypatch, chunk):
     import tiktoken
 
+    monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
+    monkeypatch.setattr(byte_bpe, "SLICE", 7 if chunk == 1 else byte_bpe.SLICE)
+    monkeypatch.setattr(byte_bpe, "BLOCK", 50 if chunk == 1 else byte_bpe.BLOCK)
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = by_id(byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN, common=common))
+    got = by_id(byte_bpe.digests(docs, ranks, public_tokenizers.PATTERN))
     for i, t in texts():
         ids = enc.encode_ordinary(t or "")
         assert tuple(got[i])[1:] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()), (i, t)
-    if common == 20:
-        back = by_id(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, common=common), ranks))
+    if chunk == 1:
+        back = by_id(byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
         assert all(bytes(back[i]["bytes"]) == (t or "").encode() for i, t in texts())
         assert byte_bpe.digests(empty, ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_of_long_words_and_odd_white_space(spark):
+    import tiktoken
+
+    rng = random.Random(8)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    data = ["z" * 100_000, "".join(rng.choice("abcdefgh") for _ in range(3000)), "ab" * 500 + "é" * 70, "=" * 300, "\n\nx\n y \n", "a\u00a0 b\u3000c\x0bd", "x\0y z", "'s 't's I'll", " lead", "trail ", "1\n2", "a\n\nb"]
+    data += ["".join(rng.choice("ab1. \n\t'é日!") for _ in range(60)) for _ in range(300)]
+    got = by_id(byte_bpe.encode(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), ranks, public_tokenizers.PATTERN))
+    for i, t in enumerate(data):
+        assert np.frombuffer(got[i]["ids"], "<u4").tolist() == enc.encode_ordinary(t), t[:80]
+
+
 # -- 9 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
