@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, bounded_batches
+from .common import Shared, in_arrow
 
 WINDOW = 256
 #: Rows of each language that training may read, and windows of each of them.
@@ -145,7 +145,6 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
 def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` without ``text_col``, with the predicted language and its probability."""
-    bounded_batches(docs.sparkSession)
     model = Shared(docs.sparkSession, net)
     rest = [c for c in docs.columns if c not in (text_col, lang_col, score_col)]
     letter = regex.compile(r"\p{L}")
@@ -181,7 +180,7 @@ def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str
 
     source = docs.select(F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in rest))
     schema = source.drop("__text").schema.add(lang_col, "string").add(score_col, "double")
-    return source.mapInArrow(scored, schema)
+    return in_arrow(source, scored, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

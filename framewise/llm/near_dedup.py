@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, saved, bounded_batches
+from .common import in_arrow, per_process, saved
 
 TREES, DEPTH, LEAST, REACH = 20, 6, 3, 2
 #: Documents of a region's block, on average.
@@ -75,7 +75,6 @@ class Shingler:
 
 def signatures(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, set_id`` (128 bits of the whole set) and ``sig`` (``trees * depth`` 32-bit MinHash values)."""
-    bounded_batches(docs.sparkSession)
     rng = np.random.default_rng(20240229)
     a = rng.integers(0, 1 << 31, trees * depth, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -99,7 +98,7 @@ def signatures(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEP
             )
 
     schema = "doc_id long, n_shingles long, set_id binary, sig binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(signed, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), signed, schema)
 
 
 def neighbours(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, least: int = LEAST, reach: int = REACH) -> DataFrame:
@@ -143,7 +142,7 @@ def neighbours(reps: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
             ids, tree, keys = ids[-reach:], tree[-reach:], keys[-reach:]
         yield batch_of(ids, [None] * len(ids), [0] * len(ids), tree, [x.tobytes() for x in keys])
 
-    held = saved(order.mapInArrow(found, "a long, b long, shared int, tree int, key binary"), "orders")
+    held = saved(in_arrow(order, found, "a long, b long, shared int, tree int, key binary"), "orders")
     # partitions' ends meet: a few rows of each partition, by tree
     ends, w = held.filter("b is null").select("tree", "key", F.col("a").alias("doc_id")).distinct(), "over (partition by tree order by key, doc_id)"
     met = ends.select("doc_id", "key", *(F.expr(f"lag(struct(doc_id, key), {k}) {w}").alias(f"p{k}") for k in range(1, reach + 1)))
@@ -170,7 +169,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
     left, right = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(checked, "a long, b long")
+    return in_arrow(rows, checked, "a long, b long")
 
 
 def components(links: DataFrame, levels: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_process, saved, bounded_batches
+from .common import in_arrow, per_process, saved
 
 SIZE = 4096
 END = 1
@@ -83,7 +83,6 @@ class WordIds:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, task, rank`` (its rank among the task's pieces of that length)."""
-    bounded_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, id
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), cut, schema)
 
 
 def best_fit_decreasing(counts: dict[int, int], size: int = SIZE) -> Plan:
@@ -252,7 +251,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
                     offset[at] = row[:, 3] + nth % row[:, 2] * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked, placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, bounded_batches
+from .common import in_arrow, saved
 
 LENGTH, GRAM = 200, 40
 OFFSETS = LENGTH - GRAM + 1
@@ -120,7 +120,7 @@ def gram_map(docs: DataFrame) -> DataFrame:
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["gram", "n"])
 
-    twice = docs.select("text").mapInArrow(counted, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
+    twice = in_arrow(docs.select("text"), counted, "gram long, n int").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
     low = (1 << MAP_BITS) - 1
     places = twice.select(F.col("gram").bitwiseAND(low).alias("place"))
     places = places.select(F.shiftright("place", SEGMENT_BITS).alias("segment"), F.col("place").bitwiseAND((1 << SEGMENT_BITS) - 1).alias("bit"))
@@ -135,7 +135,7 @@ def gram_map(docs: DataFrame) -> DataFrame:
         packed = [np.packbits(m).tobytes() for m in maps.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int64()), pa.array(packed, pa.binary())], names=["segment", "bits"])
 
-    return places.repartition("segment").mapInArrow(mapped, "segment long, bits binary")
+    return in_arrow(places.repartition("segment"), mapped, "segment long, bits binary")
 
 
 def blocks_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -180,7 +180,7 @@ def blocks_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 yield blocks()
         yield blocks()
 
-    return docs.mapInArrow(cut, ", ".join(f"{c} {t}" for c, t in zip(names, "binary long int long binary long long int long string".split(), strict=True)))
+    return in_arrow(docs, cut, ", ".join(f"{c} {t}" for c, t in zip(names, "binary long int long binary long long int long string".split(), strict=True)))
 
 
 def merged_order(gram: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def resolved(blocks: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
     columns = ["name", "gram", "lead", "n", "block"]
     dealt = narrow.select(*columns).repartition("gram").sortWithinPartitions("gram")
-    found = dealt.mapInArrow(compared, "name binary, flags binary")
+    found = in_arrow(dealt, compared, "name binary, flags binary")
 
     def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each stratum of offsets that a block has, the bytes that all strings of that stratum contain."""
@@ -301,11 +301,11 @@ def resolved(blocks: DataFrame, crowded: int = CROWDED) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["string", "name", "i", "n"])
 
     # a string can only repeat where its stratum's core does
-    held = saved(wide.select(*columns).mapInArrow(cores, "core binary, name binary, k int, n long"), "cores")
+    held = saved(in_arrow(wide.select(*columns), cores, "core binary, name binary, k int, n long"), "cores")
     shared = saved(held.groupBy("core").agg(F.sum("n").alias("c")).filter("c > 1").select("core"), "shared-cores")
     strata = saved(held.join(shared, "core").groupBy("name").agg(F.collect_list("k").alias("ks")), "strata")
     dealt = wide.select(*columns).join(strata, "name").select(*columns, "ks")
-    dealt = saved(dealt.mapInArrow(strings, "string binary, name binary, i int, n long"), "strings")
+    dealt = saved(in_arrow(dealt, strings, "string binary, name binary, i int, n long"), "strings")
     twice = saved(dealt.groupBy("string").agg(F.sum("n").alias("c")).filter("c > 1").select("string"), "repeated")
     listed = dealt.filter("n = 1").join(twice, "string").groupBy("name").agg(F.collect_list("i").alias("at"))
 
@@ -318,7 +318,7 @@ def resolved(blocks: DataFrame, crowded: int = CROWDED) -> DataFrame:
                 flags.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary())], names=["name", "flags"])
 
-    return whole.unionByName(found).unionByName(listed.mapInArrow(packed, "name binary, flags binary"))
+    return whole.unionByName(found).unionByName(in_arrow(listed, packed, "name binary, flags binary"))
 
 
 def _flagged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -345,7 +345,6 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, spans``: the removed bytes as little-endian 64-bit pairs, half-open, for documents that have any; ``doc_id, n_bytes, sha256``)."""
-    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for r in gram_map(rows).toLocalIterator():  # 16 MB in all
@@ -380,8 +379,8 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 out.append(merged(pairs).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "spans"])
 
-    listed = places.mapInArrow(covered, "doc_id long, a long, b long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("s"))
-    spans = saved(listed.mapInArrow(joined, "doc_id long, spans binary"), "spans")
+    listed = in_arrow(places, covered, "doc_id long, a long, b long").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("s"))
+    spans = saved(in_arrow(listed, joined, "doc_id long, spans binary"), "spans")
     return spans, cut.filter("n_bytes is not null").select("doc_id", "n_bytes", "sha256")
 
 
@@ -408,7 +407,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas), batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    found = hit.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
+    found = in_arrow(hit, removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
     ids = spans.select("doc_id")
     rest = whole.join(F.broadcast(ids) if size <= BROADCAST else ids, "doc_id", "left_anti")
     zero = F.lit(0).cast("long")
