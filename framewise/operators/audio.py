@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .errors import CheckFailed
 from .packets import KEY, nearest_by_time
-from .sequence import running
+from .sequence import as_of, running
 
 WARN_MS = 40.0
+#: Units of the clock whose packets one task orders.
+CELL = 1 << 26
 
 
 def segment_durations(keep: DataFrame, packets: DataFrame) -> DataFrame:
@@ -25,14 +27,15 @@ def source_starts(moved: DataFrame, ordered: DataFrame) -> DataFrame:
 
 
 def independent_source_starts(moved: DataFrame, packets: DataFrame) -> DataFrame:
-    """The same from the packets alone: display ranks by counting earlier composition times, decode times by adding up durations."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("media_id").orderBy("decode_idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = packets.withColumn("dts", F.coalesce(F.sum("duration").over(w), F.lit(0)))
-    shown = Window.partitionBy("media_id").orderBy(F.col("dts") + F.col("cts_offset"))
-    rows = rows.select("media_id", (F.rank().over(shown) - 1).cast("long").alias("start"), F.col("dts").alias("source_start_dts"))
-    return moved.join(rows, ["media_id", "start"]).select("media_id", "range_id", "source_start_dts")
+    """The same from the packets alone, not from a display order: of the packets' composition times, the one that as many others precede as the
+    segment's first frame says. Times are counted in cells of the clock, then inside the cells that a segment starts in; no task holds a medium."""
+    rows = running(packets, KEY, "decode_idx", dts=("duration", False)).withColumn("cts", F.col("dts") + F.col("cts_offset"))
+    cells = rows.groupBy("media_id", F.floor(F.col("cts") / CELL).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells = running(cells, KEY, "cell", first=("n", False)).select("media_id", "cell", "first", "n").withColumn("_first", F.col("first"))
+    asked = as_of(moved.select("media_id", "range_id", "start"), cells, KEY, "start", "first", _first="before").join(cells.drop("first"), ["media_id", "_first"]).filter("start < _first + n")
+    inside = rows.withColumn("cell", F.floor(F.col("cts") / CELL)).join(asked.select("media_id", "cell", "_first").distinct(), ["media_id", "cell"])
+    placed = inside.withColumn("start", F.col("_first") + F.rank().over(Window.partitionBy("media_id", "cell").orderBy("cts")) - 1)
+    return moved.join(placed.select("media_id", "start", F.col("dts").alias("source_start_dts")), ["media_id", "start"]).select("media_id", "range_id", "source_start_dts")
 
 
 def audio_segments(segments: DataFrame, audio: DataFrame, video_timescale: int, audio_timescale: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .errors import CheckFailed
 
 LEVELS, SIDE, POINT_SHARE, LEAST_FRAMES = 32, 5, 0.35, 4
+#: The share of the mean correlation from which on a point has its full weight.
+WEIGHT_SHARE = 0.2
 
 
 # -- learning ----------------------------------------------------------------------------------------------------------------------------
@@ -77,9 +79,10 @@ def learned(luma: DataFrame, w: int, h: int, threshold: int) -> tuple[np.ndarray
 
 
 def drawn(a: np.ndarray, b: np.ndarray, level: float) -> np.ndarray:
-    """The logo on a flat background of that brightness; where ``a`` is 0 the background shows."""
-    safe = np.where(a == 0, np.float32(1), a)
-    return np.where(a == 0, np.float32(level), (np.float32(level) - b * np.float32(255)) / safe).astype(np.float32)
+    """The logo on a flat background of that brightness; where ``a`` isn't above 0 the background shows."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    on = a > 0
+    return np.where(on, (level - b * 255) / np.where(on, a, 1), level)
 
 
 def windows(plane: np.ndarray, w: int) -> np.ndarray:
@@ -102,18 +105,18 @@ class Mask:
 
     def raw(self, planes: np.ndarray) -> np.ndarray:
         """One score for each plane: correlations with the points' kernels, scaled by the brightness around them, clipped and added up."""
-        near = planes[:, self.pixels]
-        mean = near.mean(axis=2, dtype=np.float32)
-        level = np.clip((mean / 8).astype(np.int64), 0, LEVELS - 1)
-        corr = ((near - mean[:, :, None]) * self.kernels).sum(axis=2, dtype=np.float32)
+        near = planes[:, self.pixels].astype(np.float64)
+        mean = near.mean(axis=2)
+        level = (np.clip(mean, 0, 255) / 8).astype(np.int64)
+        corr = ((near - mean[:, :, None]) * self.kernels).sum(axis=2)
         at = np.arange(len(self.pixels))
-        return (np.clip(corr * self.scale[at, level], -1, 1) * self.scale2[at, level]).sum(axis=1, dtype=np.float32)
+        return (np.clip(corr * self.scale[at, level], -1, 1) * self.scale2[at, level]).sum(axis=1)
 
     def scores(self, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(with the frame as it is, with the logo taken off), both in units of the logo's own score."""
         with np.errstate(all="ignore"):
-            clean = self.a * planes + self.b * np.float32(255)
-            return self.raw(planes) / np.float32(self.black), self.raw(clean.astype(np.float32)) / np.float32(self.black)
+            clean = self.a.astype(np.float64) * planes + self.b.astype(np.float64) * 255
+            return self.raw(planes) / self.black, self.raw(clean) / self.black
 
 
 def top_points(a: np.ndarray, b: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -121,29 +124,29 @@ def top_points(a: np.ndarray, b: np.ndarray, w: int, h: int) -> np.ndarray:
     if w < SIDE or h < SIDE:
         raise CheckFailed("logo_too_small", f"{w}x{h}")
     near = windows(drawn(a, b, 128), w)
-    variance = near.var(axis=2, dtype=np.float32)
+    variance = near.var(axis=2)
     k = min(int(w * h * POINT_SHARE), variance.size)
     order = np.argsort(-variance.ravel(), kind="stable")[:k]
     return np.stack(np.unravel_index(order, variance.shape), axis=1) + SIDE // 2
 
 
 def mask(a: np.ndarray, b: np.ndarray, w: int, h: int) -> Mask:
-    """Kernels from the logo on black, scales from its correlations on every level, the logo's own score on a dark background."""
+    """Kernels from the logo on black, scales from its correlations on every level, the logo's own score on a dark background. A point's scale on
+    a level is one over the size of its correlation there; its weight is that size against a fifth of the mean size of all, 1 at most."""
     points = top_points(a, b, w, h)
     if not len(points):
         raise CheckFailed("logo_without_points", f"{w}x{h}")
     reach = np.arange(-(SIDE // 2), SIDE // 2 + 1)
     pixels = ((points[:, 0, None, None] + reach[None, :, None]) * w + points[:, 1, None, None] + reach[None, None, :]).reshape(len(points), -1)
     near = drawn(a, b, 0)[pixels]
-    kernels = (near - near.mean(axis=1, keepdims=True, dtype=np.float32)).astype(np.float32)
-    corr = np.empty((len(points), LEVELS), np.float32)
+    kernels = near - near.mean(axis=1, keepdims=True)
+    corr = np.empty((len(points), LEVELS))
     for level in range(LEVELS):
-        shown = drawn(a, b, level * 8 + 4 if level else 0)[pixels]
-        corr[:, level] = ((shown - shown.mean(axis=1, keepdims=True, dtype=np.float32)) * kernels).sum(axis=1, dtype=np.float32)
-    with np.errstate(divide="ignore"):
-        scale = np.where(np.abs(corr) > 1e-6, 1 / corr, 0).astype(np.float32)
-    mean = np.abs(corr).mean(dtype=np.float32)  # one number over all points and levels
-    scale2 = np.minimum(1, np.abs(corr) / mean if mean else np.abs(corr)).astype(np.float32)
+        shown = drawn(a, b, level * 8)[pixels]
+        corr[:, level] = np.abs(((shown - shown.mean(axis=1, keepdims=True)) * kernels).sum(axis=1))
+    scale = np.divide(1, corr, out=np.zeros_like(corr), where=corr > 0)
+    full = WEIGHT_SHARE * corr.mean()  # one number over all points and levels
+    scale2 = np.minimum(1, corr / full) if full > 0 else np.zeros_like(corr)
     out = Mask(pixels, kernels, scale, scale2, 1.0, a, b)
     out.black = float(out.raw(drawn(a, b, 16)[None])[0])
     return out

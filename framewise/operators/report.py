@@ -24,7 +24,7 @@ def units_between(rows: DataFrame, times: DataFrame, totals: DataFrame, start: s
     clamp = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0), F.least(F.col(c), F.col("total_frames"))))
     at = lambda k: times.select("media_id", F.col("at").alias(f"_{k}"), F.col("units").alias(f"_u{k}"))
     out = rows.withColumns({"_s": clamp(start), "_e": clamp(end)}).join(at("s"), ["media_id", "_s"], "left").join(at("e"), ["media_id", "_e"], "left")
-    return out.withColumn(name, F.greatest(F.lit(0), F.col("_ue") - F.col("_us"))).drop("_s", "_e", "_us", "_ue", "total_frames")
+    return out.withColumn(name, F.when(F.col("_us").isNotNull() & F.col("_ue").isNotNull(), F.greatest(F.lit(0), F.col("_ue") - F.col("_us")))).drop("_s", "_e", "_us", "_ue", "total_frames")
 
 
 def boundary_distances(ranges: DataFrame, frames: DataFrame, totals: DataFrame, num: int = 1, den: int = 1) -> DataFrame:
@@ -84,8 +84,9 @@ def missed_candidates(ranges: DataFrame, entries: DataFrame) -> DataFrame:
     spans = ranges.select("media_id", "range_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
     rows = entries.join(known, "media_id").withColumn("length_frames", F.col("end") - F.col("start") + 1)
     rows = rows.withColumn("matched_gap_length", matching_length("length_frames")).filter("matched_gap_length is not null")
-    inside = rows.join(spans, (rows["media_id"] == spans["media_id"]) & (F.col("start") >= F.col("_s")) & (F.col("end") < F.col("_e")))
-    return inside.select(rows["media_id"], "range_id", "entry_id", "start", "end", "length_frames", "matched_gap_length")
+    # ranges don't overlap, so only the last one that has begun can hold an entry
+    inside = as_of(rows, ranges, KEY, "start", "start", _s="before").join(spans, ["media_id", "_s"]).filter("end < _e")
+    return inside.select("media_id", "range_id", "entry_id", "start", "end", "length_frames", "matched_gap_length")
 
 
 def verdict(ranges: DataFrame, entries: DataFrame, totals: DataFrame) -> DataFrame:

@@ -171,6 +171,17 @@ def keep_list(spark, d):
     return rg.keep_list(_packet_ranges(spark, d), pk.display_order(ad.packets(spark, d)))
 
 
+@query("j13_keep_and_complement_meet", both("packets ordered", """, n AS (SELECT media_id, count(*) AS t FROM packets GROUP BY media_id HAVING count(*) >= 12), k AS (SELECT *, 12 * ((t - 12) // 24 + 1) AS a FROM n)
+SELECT media_id, 1 AS ord, 'in_both' AS code, concat_ws(',', f, f + 1, f + 2, f + 3, f + 4) AS detail FROM k JOIN (SELECT media_id, decode_idx AS f FROM ordered WHERE display_idx = 0) USING (media_id)
+UNION ALL SELECT media_id, 2, 'incomplete', concat_ws('+', a, t - a + 12) FROM k""".replace(", n AS", "+ n AS", 1)))
+def keep_meets(spark, d):
+    """The removed side also has each medium's first kept range."""
+    packets = ad.packets(spark, d)
+    order, totals, kept = pk.display_order(packets), ad.totals(packets), _packet_ranges(spark, d)
+    keep, other = rg.keep_list(kept, order), rg.keep_list(rg.complement(kept, totals), order)
+    return rg.exclusivity_errors(keep, other.unionByName(keep.filter("range_id = 0")), totals)
+
+
 @query("j13_keep_and_complement_disjoint", both("packets", "SELECT '' AS media_id, 0 AS ord, '' AS code, '' AS detail WHERE false"))
 def keep_disjoint(spark, d):
     packets = ad.packets(spark, d)
@@ -206,10 +217,12 @@ def preceding_sync(spark, d):
     return pk.preceding_sync(ad.packets(spark, d)).select("media_id", "decode_idx", "sync_idx")
 
 
-@query("j6_display_to_decode", both("packets ordered n coarse", 'SELECT o.media_id, o.display_idx, o.decode_idx FROM ordered o JOIN (SELECT DISTINCT "start" % 100 AS s FROM coarse) ON o.display_idx = s'))
+@query("j6_display_to_decode", both("packets ordered", f"""+ {PACKET_RANGES}, asked AS (SELECT media_id, "start" AS display_idx FROM pr UNION SELECT media_id, "end" FROM pr)
+SELECT o.media_id, o.display_idx, o.decode_idx FROM ordered o JOIN asked USING (media_id, display_idx)"""))
 def display_to_decode(spark, d):
-    asked = ad.coarse_ranges(spark, d).select((F.col("start") % 100).alias("display_idx")).distinct()
-    return pk.display_order(ad.packets(spark, d)).join(asked, "display_idx").select("media_id", "display_idx", "decode_idx")
+    """Where every boundary of every medium's ranges stands in decode order."""
+    asked = rg.boundaries(_packet_ranges(spark, d)).select("media_id", F.col("boundary").alias("display_idx")).distinct()
+    return pk.display_order(ad.packets(spark, d)).join(asked, ["media_id", "display_idx"]).select("media_id", "display_idx", "decode_idx")
 
 
 @query("j7_decode_to_display", both("packets ordered", "SELECT media_id, decode_idx, display_idx FROM ordered WHERE is_sync"))
@@ -248,8 +261,16 @@ def not_increasing(spark, d):
     return pk.not_increasing(rows, "event_id", "v")
 
 
-@query("v2_display_contiguous", both("packets", "SELECT '' AS media_id, 0 AS ord, '' AS code, '' AS detail WHERE false"))
+@query("v2_display_contiguous", both("packets", """SELECT media_id, cts AS ord, 'display_tie' AS code, string_agg(CAST(decode_idx AS VARCHAR), ',' ORDER BY decode_idx) AS detail FROM
+(SELECT media_id, decode_idx, decode_idx * 1001 + CASE WHEN decode_idx % 36 = 13 THEN 3003 ELSE cts_offset END AS cts FROM packets) GROUP BY media_id, cts HAVING count(*) > 1"""))
 def display_contiguous(spark, d):
+    """Three dozen packets in, one is shown late and meets another; media shorter than that are sound."""
+    late = F.when(F.col("decode_idx") % 36 == 13, 3003).otherwise(F.col("cts_offset")).cast("long")
+    return vf.display_contiguous(ad.packets(spark, d).withColumn("cts_offset", late))
+
+
+@query("v2_display_contiguous_of_sound_packets", both("packets", "SELECT '' AS media_id, 0 AS ord, '' AS code, '' AS detail WHERE false"))
+def display_contiguous_sound(spark, d):
     return vf.display_contiguous(ad.packets(spark, d))
 
 
@@ -365,7 +386,14 @@ def output_times(spark, d):
     return pk.output_times(ad.packets(spark, d).withColumn("position", F.col("decode_idx")), 30000, 1000).withColumn("sync_numbers", F.array_join("sync_numbers", ","))
 
 
-@query("f30_packet_crc32")
+BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: CAST((instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i, 1)) - 1 AS {1}))"
+
+
+@query(
+    "f30_packet_crc32",
+    f"""SELECT doc_id, CASE WHEN text IS NOT NULL THEN xor(4294967295, list_reduce([4294967295::BIGINT] || {BYTES.format("text", "BIGINT")},
+lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda y, k: xor(y >> 1, 3988292384 * (y & 1))))) END AS crc FROM documents""",
+)
 def packet_crc(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
 
@@ -438,16 +466,18 @@ def gap_lengths(spark, d):
     return report.gap_lengths(ad.kept_ranges(spark, d))
 
 
-@query("a16_known_lengths", """WITH RECURSIVE g AS (SELECT gap, n, row_number() OVER (ORDER BY gap) AS i FROM (SELECT o_custkey % 500 AS gap, count(*) AS n FROM orders WHERE o_custkey % 11 = 0 GROUP BY 1)),
+@query("a16_known_lengths", """WITH RECURSIVE g AS (SELECT gap, n, row_number() OVER (ORDER BY gap) AS i FROM (SELECT o_custkey * 13 % 10007 AS gap, count(*) AS n FROM orders GROUP BY 1)),
 r AS (SELECT i, gap AS first, n FROM g WHERE i = 1 UNION ALL SELECT g.i, CASE WHEN g.gap - r.first <= 3 THEN r.first ELSE g.gap END, g.n FROM r JOIN g ON g.i = r.i + 1)
 SELECT 'm' AS media_id, string_agg(CAST(first AS VARCHAR), ',' ORDER BY first) AS known FROM (SELECT first FROM r GROUP BY first HAVING sum(n) >= 2)""")
 def known_lengths(spark, d):
-    rows = ad.table(spark, d, "orders").filter("o_custkey % 11 = 0").select(ad.media(), (F.col("o_custkey") % 500).alias("gap"))
+    rows = ad.table(spark, d, "orders").select(ad.media(), (F.col("o_custkey") * 13 % 10007).alias("gap"))
     return report.known_lengths(rows).withColumn("known", F.array_join("known", ","))
 
 
-MISSED = """+ m AS (SELECT e.media_id, c.range_id, entry_id, e."start", e."end", e."end" - e."start" + 1 AS length_frames, 500 AS matched_gap_length FROM coarse_structure e JOIN coarse c
-ON e."start" >= c."start" AND e."end" < c."end" WHERE abs(e."end" - e."start" + 1 - 500) <= 3)"""
+#: All gaps between coarse ranges are alike, so the known lengths are those that occur twice.
+MISSED = """+ kl AS (SELECT gap FROM (SELECT lead("start") OVER (ORDER BY range_id) - "end" AS gap FROM coarse) WHERE gap IS NOT NULL GROUP BY gap HAVING count(*) >= 2),
+m AS (SELECT e.media_id, c.range_id, entry_id, e."start", e."end", e."end" - e."start" + 1 AS length_frames, gap AS matched_gap_length FROM coarse_structure e JOIN coarse c
+ON e."start" >= c."start" AND e."end" < c."end" JOIN kl ON abs(e."end" - e."start" + 1 - gap) <= 3)"""
 
 
 @query("j8_missed_candidates", both("n coarse coarse_structure", MISSED + " SELECT * FROM m"))
@@ -596,14 +626,30 @@ def topk_variance(spark, d):
     return logo.top_variance(planes, 8, 8, 0.15)
 
 
-@query("a24_a25_frame_scores")
+@query(
+    "a24_a25_frame_scores",
+    both("luma", """+ al AS (SELECT i, CASE (i % 8 + 2 * (i // 8)) % 5 WHEN 4 THEN 1.25 ELSE (i % 8 + 2 * (i // 8)) % 5 / 10.0 END::DOUBLE AS al FROM (SELECT unnest(range(64)) AS i)),
+px AS (SELECT i, 1 / (1 - al) AS a, -al * 100 / (255 * (1 - al)) AS b FROM al), lv AS (SELECT unnest(range(32)) AS c),
+wn AS (SELECT cy * 8 + cx AS p, (cy + dy) * 8 + cx + dx AS i FROM (SELECT unnest(range(2, 6)) AS cy), (SELECT unnest(range(2, 6)) AS cx), (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx)),
+kn AS (SELECT p, i, d - avg(d) OVER (PARTITION BY p) AS k FROM (SELECT p, i, CASE WHEN a > 0 THEN (0 - b * 255) / a ELSE 0 END AS d FROM wn JOIN px USING (i))),
+ds AS (SELECT p, c, k, CASE WHEN a > 0 THEN (8 * c - b * 255) / a ELSE 8 * c END AS d FROM kn JOIN px USING (i), lv),
+co AS (SELECT p, c, abs(sum(k * (d - m))) AS r FROM (SELECT *, avg(d) OVER (PARTITION BY p, c) AS m FROM ds) GROUP BY p, c),
+sc AS (SELECT p, c, CASE WHEN r > 0 THEN 1 / r ELSE 0 END AS s, least(1, r / (0.2 * (SELECT avg(r) FROM co))) AS s2 FROM co),
+im AS (SELECT media_id, display_idx, kind, i, CASE kind WHEN 0 THEN v ELSE a * v + b * 255 END AS v FROM (SELECT media_id, display_idx, unnest(plane) AS v, generate_subscripts(plane, 1) - 1 AS i FROM luma) JOIN px USING (i), (VALUES (0), (1)) AS t(kind)
+       UNION ALL SELECT NULL, NULL, 2, i, CASE WHEN a > 0 THEN (16 - b * 255) / a ELSE 16 END FROM px),
+wm AS (SELECT media_id, display_idx, kind, p, avg(v) AS m, sum(k * v) - avg(v) * sum(k) AS r FROM im JOIN kn USING (i) GROUP BY ALL),
+rw AS (SELECT media_id, display_idx, kind, sum(greatest(-1, least(1, r * s)) * s2) AS raw FROM wm JOIN sc ON sc.p = wm.p AND sc.c = floor(greatest(0, least(255, m)) / 8) GROUP BY ALL)
+SELECT media_id, display_idx, round(max(raw) FILTER (kind = 0) / (SELECT raw FROM rw WHERE kind = 2), 4) AS corr0, round(max(raw) FILTER (kind = 1) / (SELECT raw FROM rw WHERE kind = 2), 4) AS corr1
+FROM rw WHERE kind < 2 GROUP BY ALL"""),
+)
 def frame_scores(spark, d):
-    """A gradient logo scored on every plane."""
+    """A logo of graded strength, with pixels whose ``a`` is negative and correlations of both signs, scored on every plane."""
     import numpy as np
 
     y, x = np.mgrid[0:8, 0:8]
-    alpha = ((x + 2 * y) % 5 / 10).astype(np.float32).ravel()
-    mask = logo.mask((1 / (1 - alpha)).astype(np.float32), (-alpha / (1 - alpha)).astype(np.float32), 8, 8)
+    step = ((x + 2 * y) % 5).ravel()
+    alpha = np.where(step == 4, 1.25, step / 10)
+    mask = logo.mask(1 / (1 - alpha), -alpha * 100 / (255 * (1 - alpha)), 8, 8)
     planes = ad.luma(spark, d).select("media_id", "display_idx", F.expr("unhex(array_join(transform(plane, v -> lpad(hex(v), 2, '0')), ''))").alias("plane"))
     return logo.frame_scores(planes, mask).withColumns({"corr0": F.round("corr0", 4), "corr1": F.round("corr1", 4)})
 
@@ -720,7 +766,8 @@ def stem_sanitise(spark, d):
     return ad.table(spark, d, "pages").select("page_id", tx.sanitised("url").alias("stem"))
 
 
-@query("f17_fnv1a")
+@query("f17_fnv1a", f"""SELECT page_id, lower(printf('%08x%08x', CAST(h // 4294967296 AS BIGINT), CAST(h % 4294967296 AS BIGINT))) AS hash FROM (SELECT page_id,
+list_reduce([14695981039346656037::HUGEINT] || {BYTES.format("url", "HUGEINT")}, lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM pages)""")
 def fnv1a(spark, d):
     return ad.table(spark, d, "pages").select("page_id", tx.fnv1a("url").alias("hash"))
 
@@ -731,10 +778,13 @@ def subtitle_format(spark, d):
     return ad.table(spark, d, "pages").select("page_id", tx.subtitle_format(F.concat("url", ext)).alias("format"))
 
 
-@query("j12_audio_subset", "SELECT '' AS media_id, 0 AS ord, '' AS code, '' AS detail WHERE false")
+@query("j12_audio_subset", both("packets", """SELECT media_id, min(i) AS ord, 'unknown_audio' AS code, array_to_string(list_sort(list(CAST(5000000000 + i AS VARCHAR)))[:5], ',') AS detail
+FROM (SELECT media_id, decode_idx // 2 AS i FROM packets WHERE decode_idx % 2 = 0) WHERE i % 7 = 5 GROUP BY media_id"""))
 def audio_subset(spark, d):
+    """Every second packet goes out; of those every seventh has other bytes."""
     rows = ad.packets(spark, d).select("media_id", F.col("decode_idx").alias("position"), F.crc32(F.col("size").cast("string").cast("binary")).alias("crc"), (F.col("decode_idx") * 1001).alias("dts"))
-    return vf.audio_subset(rows, rows.filter("position % 2 = 0").withColumns({"position": F.expr("position div 2")}))
+    out = rows.filter("position % 2 = 0").withColumns({"position": F.expr("position div 2")})
+    return vf.audio_subset(rows, out.withColumn("crc", F.when(F.col("position") % 7 == 5, F.col("position") + 5000000000).otherwise(F.col("crc"))))
 
 
 @query("j11_same_packets", both("packets", "SELECT media_id, decode_idx AS ord, 'packet_differs' AS code FROM packets WHERE decode_idx % 40 = 39"))
