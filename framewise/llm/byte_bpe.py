@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, bounded_batches, in_arrow, ragged, release, saved
+from .common import Shared, bounded_batches, bucketed, in_arrow, ragged, release
 
 #: Bytes of texts in a chunk (a longer text is a chunk of its own) and words in a block of its documents.
-CHUNK, BLOCK = 16 << 20, 1 << 16
+CHUNK, BLOCK = 12 << 20, 1 << 16
 #: Distinct words that are folded in one row.
 SLICE = 4096
 #: Bytes of the estimated input for each bucket of words, and the least and most buckets.
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     estimate = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = min(max(estimate // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1])
-    held = saved(chunks(rows, pattern, buckets), "chunks")
+    held = bucketed(chunks(rows, pattern, buckets), "chunks", "chunk")  # so that documents needn't be dealt out again
     dealt = held.filter("bucket is not null").select("chunk", "bucket", "block").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
     folded = with_ids(dealt.groupBy("bucket").applyInArrow(_met, "words array<string>, refs binary"), "words", ranks).select("ids", "refs")
     asked = in_arrow(folded, _sent, "chunk long, block binary")

@@ -53,6 +53,16 @@ def saved(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, column: str) -> DataFrame:
+    """As ``saved``, but rows of one value of ``column`` are read back into one partition, as a shuffle by it would deal them: a table of its own, with
+    as many buckets as the session has shuffle partitions."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    return spark.table(name)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by ``saved`` that no later result reads."""
     for df in frames:
@@ -91,7 +101,7 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, so that long texts fit it.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:
