@@ -149,12 +149,58 @@ def test_lm(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
-    model, words = lm.fit(saved(lm.word_counts(docs), "t"))
-    known = sum(10 ** r["score"] for r in words.collect())
-    assert known + 10 ** model.log10_unknown() == pytest.approx(1, abs=1e-6)
-    again, _ = lm.fit(saved(lm.word_counts(docs), "t"))
-    assert again.log10_unknown() == pytest.approx(model.log10_unknown(), abs=0.05)
+def test_lm_probabilities_sum_to_one(docs, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    model, words = lm.fit(docs)
+    rows = {bytes(r["word"]): r for r in words.collect()}
+    rest = {w: r for w, r in rows.items() if w not in model.frequent}
+    assert len(rest) > 50 and len(model.frequent) == 4
+    assert sum(10 ** r["score"] for r in rest.values()) + 10 ** model.log10_unknown() == pytest.approx(1, abs=1e-9)
+    assert (10**model.outcomes).sum(axis=1) == pytest.approx(np.ones(5), abs=1e-9)
+
+
+def test_lm_scores_by_hand(docs, monkeypatch):
+    """The same numbers from dictionaries of customers and tables, and the same with any partitioning."""
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    count: collections.Counter = collections.Counter()
+    pair: collections.Counter = collections.Counter()
+    for i, x in texts():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            ws = lm.tokens(x)
+            count.update(ws)
+            pair.update(zip([lm.END, *ws], ws, strict=False))
+    top = [lm.END, *sorted((w for w in count if w != lm.END), key=lambda w: (-count[w], w))[:3]]
+    name = {w: k for k, w in enumerate(top)}
+    square = np.zeros((5, 5), np.int64)
+    for (a, b), k in pair.items():
+        square[name.get(a, 4), name.get(b, 4)] += k
+    contexts, samples = lm.Contexts(square), []
+    for number in range(lm.BURN + lm.SAMPLES):
+        contexts.sweep(number)
+        assert ((contexts.tables >= np.minimum(square, 1)) & (contexts.tables <= square)).all()
+        (d, s), (pd, ps), held = lm.CONTEXT, lm.PARENT, contexts.tables.sum(axis=0)
+        up = [(held[o] - pd * contexts.up[o] + (ps + pd * contexts.up.sum()) / 5) / (ps + held.sum()) for o in range(5)]
+        samples.append([[(square[u, o] - d * contexts.tables[u, o] + (s + d * contexts.tables[u].sum()) * up[o]) / (s + square[u].sum()) for o in range(5)] for u in range(5)])
+    outcome = np.mean(samples[-lm.SAMPLES :], axis=0)
+    rest = sorted(w for w in count if w not in name)
+    n, others = np.array([count[w] for w in rest]), lm.Others(sum(count[w] for w in rest), len(rest))
+    for _ in range(lm.BURN + lm.SAMPLES):
+        others.totals.append(int(others.tables(rest, n)[-1].sum()))
+    seats, (d, s) = others._before().tables(rest, n), lm.WORDS
+    share = {w: np.mean([(n[i] - d * t[i] + (s + d * total) / (len(rest) + 1)) / (s + others.customers) for t, total in list(zip(seats, others.totals, strict=True))[-lm.SAMPLES :]]) for i, w in enumerate(rest)}
+    scores = [by_id(lm.score_documents(docs.repartition(k))) for k in (1, 9)]
+    for i, x in texts():
+        ws = lm.tokens(x)
+        want = sum(math.log10(outcome[name.get(a, 4), name.get(b, 4)] * (1 if b in name else share.get(b, others.unknown()))) for a, b in zip([lm.END, *ws], ws, strict=False))
+        for got in scores:
+            assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_lm_of_rows_that_share_an_id(spark):
+    rows = [(None, "a b c"), (None, "d"), (3, "a a"), (3, "zz yy xx"), (3, "a a"), (4, "q " * 100_000)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted([("None", 4), ("None", 2), ("3", 3), ("3", 4), ("3", 3), ("4", 100_001)])
+    assert all(r["score"] < 0 and r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
 
 
 # -- 4 ---------------------------------------------------------------------------------------------------------------------------------------
