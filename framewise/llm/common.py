@@ -96,6 +96,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows without an id of their own get numbers from here on.
+NUMBERED = 1 << 62
+
+
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, text`` with an id of its own for every row; rows whose id is null or not theirs alone get numbers from ``NUMBERED`` on and are written
+    as the second table, ``number, doc_id, text`` (None where there are none)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    twice = saved(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return rows, None
+    shared = rows.join(twice, rows["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
+    shared = saved(shared.select((F.lit(NUMBERED) + F.monotonically_increasing_id()).alias("number"), "doc_id", "text"), "numbered")
+    own = rows.join(twice, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+    return own.unionByName(shared.select(F.col("number").alias("doc_id"), "text")), shared
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with as many marks after it as make it no column of ``df``."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -5,8 +5,11 @@ shorter than a window is padded). In each window the bytes are embedded, filters
 kept, and a softmax layer gives probabilities; a text's probabilities are the mean over all of its windows. Everything is trained in numpy on
 labelled rows. Training reads windows of at most ``SAMPLE`` rows for each language, chosen by a hash of their id; prediction reads whole texts.
 
+Every language that a training row has is learnt, however rare; the network has one output for each, and the driver holds ``SAMPLE`` rows of each at most.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows with a null label never train; with no labelled row
-every text is ``und``; ties go to the language that sorts first; an empty table gives an empty result; only the named columns are read.
+every text is ``und``; ties go to the language that sorts first; null ids and repeated rows are predicted each, and repeated training rows teach once; a text of any length is read whole; an empty table gives an empty result;
+only the named columns are read, and other columns stay.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Shared, in_arrow
+from .common import Shared, in_arrow, unused
 
 WINDOW = 256
 #: Rows of each language that training may read, and windows of each of them.
@@ -120,7 +124,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Fit on the rows of ``docs``, all of which may be used."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     langs = sorted(counts)
     if not langs:
         return ByteCnn([])
@@ -128,7 +132,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     chosen = labelled.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
     step = F.greatest(F.lit(1), F.expr(f"(length(text) - {WINDOW}) div {SAMPLE_WINDOWS}"))
     pieces = [F.substr("text", (step * i + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
-    rows = chosen.select("lang", *(p.alias(f"p{i}") for i, p in enumerate(pieces))).limit(SAMPLE * len(langs)).collect()
+    pieces = chosen.select("lang", *(p.alias(f"p{i}") for i, p in enumerate(pieces))).distinct()  # rows that repeat an id teach once
+    rows = pieces.orderBy(F.xxhash64("*"), *pieces.columns).limit(SAMPLE * len(langs)).collect()
     windows, labels = [], []
     for r in rows:
         for piece in {r[f"p{i}"] for i in range(SAMPLE_WINDOWS)}:
@@ -143,10 +148,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return net.fit(np.concatenate(windows)[order], np.searchsorted(seen, np.array(labels))[order])
 
 
-def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """``docs`` without ``text_col``, with the predicted language and its probability."""
+def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs``, without ``text_col`` unless asked for, with the predicted language and its probability; columns of these names give way to them."""
     model = Shared(docs.sparkSession, net)
     rest = [c for c in docs.columns if c not in (text_col, lang_col, score_col)]
+    at = 0
+    if keep_text:
+        rest = [c for c in docs.columns if c not in (lang_col, score_col)]
+        at = rest.index(text_col)
     letter = regex.compile(r"\p{L}")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +175,7 @@ def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str
                 held.clear()
 
             n = 0
-            for i, text in enumerate(batch.column(0).to_pylist()):
+            for i, text in enumerate(batch.column(at).to_pylist()):
                 if net.langs and text is not None and letter.search(text):
                     place.append(i)
                     held.append(windows_of(text.encode("utf-8", "replace")))
@@ -176,17 +185,24 @@ def predict(docs: DataFrame, net: ByteCnn, text_col: str = "text", lang_col: str
                         n = 0
             if held:
                 flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], lang_col, score_col])
+            held_back = 0 if keep_text else 1
+            arrays = [*batch.columns[held_back:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[held_back:], lang_col, score_col])
 
-    source = docs.select(F.col(f"`{text_col}`").alias("__text"), *(F.col(f"`{c}`") for c in rest))
-    schema = source.drop("__text").schema.add(lang_col, "string").add(score_col, "double")
+    source = docs.select(*(F.col(f"`{c}`") for c in ([] if keep_text else [text_col]) + rest))
+    schema = StructType([f for f in source.schema.fields if keep_text or f.name != text_col]).add(lang_col, "string").add(score_col, "double")
     return in_arrow(source, scored, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that get a language, with its columns: null texts and those without a letter go. Learns from ``docs`` itself."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    return predict(rows, train(docs)).filter("lang_pred <> 'und'").select("row.*")
+    """The rows of ``docs`` that have a language, with its columns; where ``lang`` is null it becomes the predicted one. Null texts and those without a
+    letter go. Learns from ``docs`` itself; where no row is labelled there is nothing to learn, so rows with a letter stay as they are."""
+    net = train(docs)
+    if not net.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    fresh = unused("lang_pred", docs), unused("score", docs)
+    out = predict(docs, net, lang_col=fresh[0], score_col=fresh[1], keep_text=True).filter(F.col(fresh[0]) != "und")
+    return out.select(*(F.coalesce("lang", fresh[0]).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

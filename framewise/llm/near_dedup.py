@@ -12,8 +12,9 @@ region of any size is spread over tasks, and each task returns only links that j
 Components are found by repeated contraction of the links to the smallest neighbour; no task and no driver sees all links.
 
 Defined cases: null text, and text without words, has the empty set (0 shingles) and is linked with nothing; a text of fewer words than a
-shingle is one shingle; repeated rows share a class; a component's name is its smallest id; an empty table gives an empty result; extra
-columns are ignored.
+shingle is one shingle; a text of any length is compared whole; repeated rows share a class, and rows that share an id with different texts are compared each; a component's name is its smallest id; a null id is
+never the smallest, and a component of null ids has a null name and no row marked kept, though ``keep_one`` keeps one of it; an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, per_process, saved
+from .common import NUMBERED, identified, in_arrow, per_process, saved
 
 TREES, DEPTH, LEAST, REACH = 20, 6, 3, 2
 #: Documents of a region's block, on average.
@@ -179,7 +180,7 @@ def components(links: DataFrame, levels: int | None = None) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "up")
-        top = saved(up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", "top"), "top")
+        top = up.join(up.select(F.col("a").alias("up"), F.col("up").alias("top")), "up").select("a", "top")
         step = top.join(top.select(F.col("a").alias("top"), F.col("top").alias("root")), "top").select("a", "root")
         step = saved(step, "step")
         if labels is None:
@@ -283,16 +284,15 @@ def crowded(reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, per
     return rows.groupBy("region", "i", "j").applyInArrow(compared, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
-    sigs = saved(signatures(docs, width, id_col=id_col, text_col=text_col), "signatures")
+def labelled(rows: DataFrame, width: int, percent: int, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """``doc_id, n_shingles, component``; ``rows`` has ``doc_id, text``, and no id twice."""
+    sigs = saved(signatures(rows, width), "signatures")
     sets = sigs.filter("set_id is not null")
     reps = saved(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "sig")).alias("rep")).select("set_id", "rep.*"), "sets")
     pairs = saved(neighbours(reps), "pairs")
     # only texts of candidates are needed again; their ids are broadcast where they are few enough
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
     few = ids.count() <= broadcast_ids
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = saved(rows.join(F.broadcast(ids) if few else ids, "doc_id"), "texts")
     links = saved(confirmed(_best(pairs), texts, width, percent), "confirmed")
     for last in (False, True):
@@ -307,13 +307,41 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     if not joined.isEmpty():
         labels = components(links.unionByName(joined))
     named = reps.select("set_id", F.col("doc_id").alias("node")).join(labels, "node", "left")
-    named = saved(named.select("set_id", F.coalesce("comp", "node").alias("component_id")), "named")
+    named = saved(named.select("set_id", F.coalesce("comp", "node").alias("component")), "named")
     out = sigs.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+
+
+def _own_ids(found: DataFrame, shared: DataFrame) -> DataFrame:
+    """``found`` (``doc_id, n_shingles, component``) with rows' own ids as ``own_id``, and of its component the smallest as ``name`` and the row that has it as ``stays``."""
+    own = found.join(shared.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("shared_id")), "doc_id", "left")
+    own = saved(own.withColumn("own_id", F.when(F.col("doc_id") < NUMBERED, F.col("doc_id")).otherwise(F.col("shared_id"))), "own")
+    first = F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "doc_id")).alias("first")
+    names = own.groupBy("component").agg(first).select("component", F.col("first.own_id").alias("name"), F.col("first.doc_id").alias("stays"))
+    return own.join(names, "component")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 2_000_000) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
+    rows, shared = identified(docs, id_col, text_col)
+    found = labelled(rows, width, percent, broadcast_ids).withColumnRenamed("component", "component_id")
+    if shared is not None:
+        found = _own_ids(found.withColumnRenamed("component_id", "component"), shared)
+        found = found.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("name").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with its columns; needs ``doc_id`` and ``text``."""
-    kept = near_dedup(docs, width, percent).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows, shared = identified(docs)
+    found = labelled(rows, width, percent)
+    if shared is None:
+        return docs.join(found.filter("doc_id = component").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    stay = saved(_own_ids(found, shared).filter("doc_id = stays").select("doc_id"), "stay")
+    plain = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    # rows without an id of their own are found again by id and text; equal ones are in one component, of which one stays
+    chosen = shared.join(stay.select(F.col("doc_id").alias("number")), "number").select("number", F.col("doc_id").alias("shared_id"), F.col("text").alias("shared_text"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    again = docs.select(whole, F.col("doc_id").cast("long").alias("own_id"), F.col("text").alias("own_text"))
+    again = again.join(chosen, F.col("own_id").eqNullSafe(F.col("shared_id")) & F.col("own_text").eqNullSafe(F.col("shared_text")))
+    return plain.unionByName(again.groupBy("number").agg(F.first("whole").alias("whole")).select("whole.*"))

@@ -1,24 +1,22 @@
 """Best-fit packing of tokenised documents into sequences of a fixed size, by bin completion.
 
 Only the number of pieces of each length matters to the plan, so it is made from a histogram of at most ``size`` counts, whatever the number
-of documents. Best-fit decreasing gives the incumbent; if it uses more sequences than the total length needs, bin completion runs: take the
-largest piece, enumerate the undominated fillings of the rest of its sequence by depth-first search, prune those whose waste would use up what
-a better plan may waste in all, take the one with the least waste, and repeat it while the counts last. A plan is a list of (lengths of one
+of documents. Best-fit decreasing gives the first incumbent; where it uses more sequences than the total length needs, branch and bound looks for fewer (see
+``bin_completion``). Packing is NP-hard, so the search has a budget of fillings; what it leaves is the best plan so far, with every piece in it. A plan is a list of (lengths of one
 sequence, how many such sequences), at most one for each length that runs out.
 
 Each piece then finds its place alone: its rank among the pieces of its length selects the sequence and the offset. Ranks come from counts by
 (task, length), so no length, however common, gathers in one task, and no text is shuffled.
 
-Defined cases: null texts count as empty and give one piece that holds the end mark; an empty table gives an empty result; repeated rows are
-packed each; extra columns are ignored.
+Defined cases: null texts count as empty and give one piece that holds the end mark; null ids stay null; an empty table gives an empty result;
+repeated rows are packed each; a text of any length is cut into pieces; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +30,9 @@ from .common import in_arrow, per_process, saved
 SIZE = 4096
 END = 1
 #: Words, and pieces, that a worker keeps.
-CACHE = 600_000
-NODES = 4000
+CACHE = 400_000
+#: Fillings that the search may try before it keeps its incumbent.
+NODES = 8000
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -135,78 +134,131 @@ def best_fit_decreasing(counts: dict[int, int], size: int = SIZE) -> Plan:
     return [x for groups in open_.values() for x in groups]
 
 
-def _filling(room: int, lengths: list[int], counts: dict[int, int], most_waste: int) -> list[int] | None:
-    """The filling of ``room`` with the least waste, at most ``most_waste``; ``lengths`` descend. Fillings are tried with their largest piece
-    first, so the first of equal waste is not dominated by a later one; one that leaves room for a piece still at hand is dominated and skipped.
-    """
-    best: list[int] | None = None
-    least = most_waste + 1
-    nodes = 0
-    arr = np.array(lengths[::-1])
-    used: dict[int, int] = defaultdict(int)
-    chosen: list[int] = []
-
-    def go(room: int, top: int) -> None:
-        nonlocal best, least, nodes
-        nodes += 1
-        if room == 0 or nodes > NODES:
-            if room < least:
-                best, least = chosen[:], room
-            return
-        i = min(top, int(np.searchsorted(arr, room, "right")) - 1)
-        maximal = True
-        while i >= 0 and least > 0 and nodes <= NODES:
-            length = int(arr[i])
-            if counts[length] > used[length]:
-                maximal = False
-                used[length] += 1
-                chosen.append(length)
-                go(room - length, i)
-                chosen.pop()
-                used[length] -= 1
-            i -= 1
-        if maximal and room < least:
-            best, least = chosen[:], room
-
-    go(room, len(arr) - 1)
-    return best
+def fillings(room: int, left: np.ndarray, most_waste: int) -> Iterator[list[int]]:
+    """Undominated fillings of ``room`` from ``left[length]`` pieces of each length, those with the least waste first, at most ``most_waste``.
 
-
-def bin_completion(counts: dict[int, int], size: int = SIZE) -> Plan:
-    """A plan with as few sequences as this search finds; never more than best-fit decreasing uses."""
+    Which sums can be had is found for all of them at once, as bits of one number for the pieces up to each length; so a filling that exists is found. Of
+    fillings with one sum, a single piece dominates all others; then come pairs and triples of the most even pieces, which leave small
+    pieces for later, and the one with the largest pieces. A filling that leaves room for a piece still at hand is dominated by the one that has it.
+    """
+    lengths = np.flatnonzero(left[: room + 1])
+    sums, bits, limit = [], 1, (1 << (room + 1)) - 1
+    for k in lengths.tolist():
+        n, part = min(int(left[k]), room // k), 1
+        while n:  # as many as 1, 2, 4, ... and the rest at once
+            part = min(part, n)
+            bits |= (bits << (part * k)) & limit
+            n -= part
+            part *= 2
+        sums.append(bits)
+    for waste in range(min(most_waste, room) + 1):
+        total = room - waste
+        if not bits >> total & 1:
+            continue
+        if total == 0:
+            if not len(lengths) or lengths[0] > room:
+                yield []
+            continue
+        if left[total]:
+            found: Iterator[list[int]] = iter([[total]])
+        else:
+            found = _several(total, left, lengths, sums)
+        seen = set()
+        for held in found:
+            used = np.bincount(held, minlength=len(left))
+            if tuple(held) not in seen and not (waste and (left[1 : waste + 1] > used[1 : waste + 1]).any()):
+                seen.add(tuple(held))
+                yield held
+
+
+def _several(total: int, left: np.ndarray, lengths: np.ndarray, sums: list[int]) -> Iterator[list[int]]:
+    def pairs(of: int, least: int) -> np.ndarray:
+        """The lesser pieces, most even pair first, of the pairs with that sum and no piece below ``least``."""
+        x = np.arange(of // 2, least - 1, -1)
+        x = x[(left[x] > 0) & (left[of - x] > 0)] if len(x) else x
+        return x[1:] if len(x) and 2 * x[0] == of and left[x[0]] < 2 else x
+
+    # the largest pieces that leave a sum that can be had
+    held, rest = [], total
+    for k in range(len(lengths) - 1, -1, -1):
+        length, below = int(lengths[k]), sums[k - 1] if k else 1
+        n = min(int(left[length]), rest // length)
+        while n >= 0 and not below >> (rest - n * length) & 1:
+            n -= 1
+        held += [length] * n
+        rest -= length * n
+    yield held
+    for a in pairs(total, 1).tolist():
+        yield [total - a, a]
+    for a in lengths[lengths <= total // 3][::-1].tolist():
+        left[a] -= 1
+        x = pairs(total - a, a)
+        left[a] += 1
+        if len(x):
+            yield [total - a - int(x[0]), int(x[0]), a]
+
+
+def bin_completion(counts: dict[int, int], size: int = SIZE, nodes: int = NODES) -> Plan:
+    """A plan with as few sequences as branch and bound finds in ``nodes`` fillings; never more than best-fit decreasing uses.
+
+    A node fills one sequence around the largest piece left, and repeats that filling while its pieces last. Depth first, its fillings are tried in their order; one whose waste
+    would use up what a better plan may waste in all is pruned, and where none is left the search goes back. A complete plan, or one that best-fit decreasing completes,
+    becomes the incumbent if it uses fewer sequences. The search ends where the incumbent reaches the least possible number.
+    """
     counts = {k: n for k, n in counts.items() if n > 0}
-    incumbent = best_fit_decreasing(counts, size)
-    total = sum(k * n for k, n in counts.items())
-    bins = sum(n for _, n in incumbent)
-    spare = (bins - 1) * size - total
-    if spare < 0:
-        return incumbent  # no plan can use fewer
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * size + 1000))
-    left, plan = dict(counts), []
-    while left:
-        lengths = sorted(left, reverse=True)
-        first = lengths[0]
+    best = best_fit_decreasing(counts, size)
+    total, bins = sum(k * n for k, n in counts.items()), sum(n for _, n in best)
+    least = max(-(-total // size), sum(n for k, n in counts.items() if 2 * k > size))
+    left = np.zeros(size + 1, np.int64)
+    for k, n in counts.items():
+        left[k] = n
+    path: list[tuple[dict[int, int], int, Iterator[list[int]]]] = []
+    spent, waste, tried = 0, 0, 0
+
+    def open_() -> Iterator[list[int]]:
+        first = int(np.flatnonzero(left)[-1])
         left[first] -= 1
-        found = _filling(size - first, [k for k in lengths if left[k]], left, spare)
+        allowed = (bins - 1) * size - total - waste
+        found = fillings(size - first, left.copy(), allowed) if allowed >= 0 else iter(())
         left[first] += 1
-        if found is None:
-            return incumbent  # what a better plan may waste is used up
-        held: dict[int, int] = defaultdict(int, {first: 1})
-        for k in found:
-            held[k] += 1
-        waste = size - sum(k * n for k, n in held.items())
-        times = min(left[k] // n for k, n in held.items())
-        if waste:
-            times = min(times, max(1, spare // waste))
-        spare -= waste * times
-        if spare < 0:
-            return incumbent
-        plan.append((dict(held), times))
-        for k, n in held.items():
+        return ([first, *x] for x in found)
+
+    choices = open_() if left.any() else iter(())
+    while bins > least and tried < nodes:
+        held = next(choices, None)
+        if held is None:
+            if path and tried:
+                rest = {int(k): int(left[k]) for k in np.flatnonzero(left)}
+                tail = best_fit_decreasing(rest, size)
+                if spent + sum(n for _, n in tail) < bins:
+                    best = [(h, n) for h, n, _ in path] + tail
+                    bins = sum(n for _, n in best)
+            if not path:
+                break
+            used, times, choices = path.pop()
+            spent -= times
+            waste -= times * (size - sum(k * n for k, n in used.items()))
+            for k, n in used.items():
+                left[k] += n * times
+            continue
+        tried += 1
+        used = dict(Counter(held))
+        lost = size - sum(held)
+        allowed = (bins - 1) * size - total - waste
+        if lost > allowed:
+            continue
+        times = min(int(left[k]) // n for k, n in used.items())
+        if lost:
+            times = min(times, allowed // lost)
+        path.append((used, times, choices))
+        spent, waste = spent + times, waste + times * lost
+        for k, n in used.items():
             left[k] -= n * times
-            if not left[k]:
-                del left[k]
-    return plan
+        if left.any():
+            choices = open_()
+        else:
+            best, bins, choices = [(h, n) for h, n, _ in path], spent, iter(())
+    return best
 
 
 def _slots(plan: Plan) -> dict[int, np.ndarray]:

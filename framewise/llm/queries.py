@@ -15,6 +15,8 @@ from .common import table
 
 #: Vocabulary files; parameters of the operators.
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: A key for these synthetic tables only; real ones need a secret.
+PII_KEY = "synthetic tables"
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -58,7 +60,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "n_pii", "text")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_pii", "text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

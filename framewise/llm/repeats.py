@@ -16,8 +16,8 @@ repeats, the strings themselves.
 The plain method, all suffixes of all shards with one pass over the interleave per byte of the longest repeat, needs about 200 passes over the
 corpus; sampling makes that passes over what repeats, with the same result.
 
-Defined cases: null text counts as empty; texts shorter than ``LENGTH`` have no such string; rows that repeat a doc_id must repeat its text and
-are then each other's copies; an empty table gives an empty result; extra columns are ignored.
+Defined cases: null text counts as empty; texts shorter than ``LENGTH`` have no such string; a text of any length is read whole; rows without an id of their own (null, or one that
+another row has too) are documents of their own, and rows that repeat a row are its copies; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, saved
+from .common import identified, in_arrow, saved
 
 LENGTH, GRAM = 200, 40
 OFFSETS = LENGTH - GRAM + 1
@@ -345,7 +345,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, spans``: the removed bytes as little-endian 64-bit pairs, half-open, for documents that have any; ``doc_id, n_bytes, sha256``)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text")
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     for r in gram_map(rows).toLocalIterator():  # 16 MB in all
         at = r["segment"] << (SEGMENT_BITS - 3)
@@ -386,9 +386,9 @@ def repeat_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``."""
-    spans, whole = repeat_spans(docs)
+    rows, shared = identified(docs)
+    spans, whole = repeat_spans(rows)
     size = spans.agg(F.coalesce(F.sum(F.octet_length("spans") + 24), F.lit(0))).first()[0]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = rows.join(F.broadcast(spans) if size <= BROADCAST else spans, "doc_id")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,4 +411,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ids = spans.select("doc_id")
     rest = whole.join(F.broadcast(ids) if size <= BROADCAST else ids, "doc_id", "left_anti")
     zero = F.lit(0).cast("long")
-    return found.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("spans")))
+    out = found.unionByName(rest.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("binary").alias("spans")))
+    if shared is None:
+        return out
+    own = shared.select(F.col("number").alias("doc_id"), F.lit(True).alias("numbered"), F.col("doc_id").alias("shared_id"))
+    own = out.join(own, "doc_id", "left")
+    return own.select(F.when(F.col("numbered"), F.col("shared_id")).otherwise(F.col("doc_id")).alias("doc_id"), *out.columns[1:])

@@ -5,12 +5,12 @@ term can add. Terms are taken by the width of that range, widest first: those th
 current k-th score, are non-essential. The essential terms' postings are traversed for all vectors; the others are probed, some at a time, only
 for vectors that can still compete. Shards' results are merged by score, then smaller id, so the search is exact.
 
-Queries are a stated set of rows; they meet all rows block by block. The number of blocks and shards follows the number of rows, so what a task
-holds is bounded.
+Queries are a stated set of rows; they meet all rows block by block. The number of blocks and shards follows the number of rows and their width, so what a task
+holds is bounded by bytes.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with zeros; a query is
-never its own result, but other rows with its vector are; rows that repeat an id are results each; with fewer than k others, all are returned;
-an empty table gives an empty result; extra columns are ignored.
+never its own result, but other rows with its vector are; rows that repeat an id are results each; a null id takes no part; with fewer than k others, all are returned;
+ties go to the smaller id; very long vectors make shards of fewer rows; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import in_arrow, saved
 
-SHARD = 16384
-BLOCK = 1024
+#: Bytes of vectors in a shard, and in a block of queries.
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 1 << 18
 #: Non-essential terms that are probed between two looks at the bounds.
 PROBE = 8
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """``vec_id, terms`` (little-endian 64-bit ``floor(scale * x)``) of the vectors that take part."""
+    """``vec_id, terms`` (little-endian 32-bit ``floor(scale * x)``) of the vectors that take part; a component beyond 32 bits is an error, since
+    scores would then leave 64 bits."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -40,17 +41,20 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
                 v = None if x is None or None in x else np.array(x, np.float64)
                 if v is not None and i is not None and np.isfinite(v).all():
                     ids.append(i)
-                    rows.append(np.floor(scale * v).astype("<i8").tobytes())
+                    whole = np.floor(scale * v)
+                    if len(v) and np.abs(whole).max() >= 1 << 31:
+                        raise ValueError(f"a component of vector {i} is too large: {np.abs(v).max()}")
+                    rows.append(whole.astype("<i4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.binary())], names=["vec_id", "terms"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).mapInArrow(packed, "vec_id long, terms binary")
+    return in_arrow(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")), packed, "vec_id long, terms binary")
 
 
 def _matrix(terms: list[bytes], width: int) -> np.ndarray:
     """Postings: one row for each term."""
     out = np.zeros((width, len(terms)), np.int64)
     for j, t in enumerate(terms):
-        v = np.frombuffer(t, "<i8")
+        v = np.frombuffer(t, "<i4")
         out[: len(v), j] = v
     return out
 
@@ -87,16 +91,22 @@ def max_score(postings: np.ndarray, ids: np.ndarray, query: np.ndarray, query_id
     return live[best], partial[best]
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """For each row that ``queries`` (a condition on ``vec_id``) holds for: ``query_id, rank, vec_id, score`` of its k best others."""
+def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, shard: int | None = None, block: int | None = None) -> DataFrame:
+    """For each row that ``queries`` (a condition on ``vec_id``) holds for: ``query_id, rank, vec_id, score`` of its k best others. Shards of ``shard`` vectors meet
+    blocks of ``block`` queries; both follow the vectors' width unless given."""
     rows = saved(quantised(vectors, id_col, vector_col, scale), "vectors")
     shape = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(queries).alias("q"), F.max(F.octet_length("terms")).alias("w")).first()
-    shards, blocks, width = -(-shape["n"] // shard) or 1, -(-shape["q"] // block) or 1, (shape["w"] or 8) // 8
+    width = max(1, (shape["w"] or 4) // 4)
+    shard, block = shard or max(256, SHARD_BYTES // (4 * width)), block or max(16, BLOCK_BYTES // (4 * width))
+    shards, blocks = -(-shape["n"] // shard) or 1, -(-shape["q"] // block) or 1
     mix = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     gathered = F.collect_list(F.struct("vec_id", "terms"))
     held = rows.groupBy(mix(shards, 1).alias("shard")).agg(gathered.alias("rows"))
     asked = rows.filter(queries).groupBy(mix(blocks, 2).alias("block")).agg(gathered.alias("asked"))
-    meet = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(held, "shard").select("rows", "asked")
+    meet = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(held, "shard")
+    # a pair of a shard and a block is much work and few bytes, so pairs are dealt out one by one
+    spread = max(1, min(shards * blocks, 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    meet = meet.repartition(spread, F.col("shard") * blocks + F.col("block")).select("rows", "asked")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,6 +126,6 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_i
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "vec_id", "score"])
 
-    found = meet.mapInArrow(searched, "query_id long, vec_id long, score long")
+    found = in_arrow(meet, searched, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -132,6 +132,27 @@ def test_plans_are_whole_and_close_to_optimal(seed):
     assert packing.bin_completion({6: 2, 4: 2}, 10) and sum(n for _, n in packing.bin_completion({6: 2, 4: 2}, 10)) == 2
 
 
+def test_branch_and_bound_beats_best_fit():
+    """Exact triples: best-fit decreasing wastes, the search finds plans without waste or nearly so, and whole."""
+    better = 0
+    for seed in range(4):
+        rng, counts = random.Random(seed), collections.Counter()
+        for _ in range(60):
+            a, b = sorted(rng.sample(range(1, 1000), 2))
+            counts.update((a, b - a, 1000 - b))
+        plan = packing.bin_completion(dict(counts), 1000)
+        held = collections.Counter()
+        for lengths, n in plan:
+            assert sum(k * c for k, c in lengths.items()) <= 1000
+            for k, c in lengths.items():
+                held[k] += c * n
+        fit, found = sum(n for _, n in packing.best_fit_decreasing(dict(counts), 1000)), sum(n for _, n in plan)
+        assert held == counts and 60 <= found <= min(fit, 61)
+        better += found < fit
+    assert better
+    assert sum(n for _, n in packing.bin_completion({6: 300, 5: 300, 4: 300, 3: 300, 2: 300}, 10)) == 600
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -282,14 +303,17 @@ def test_exact_dedup(docs, empty, bucket_keys):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(docs).columns == docs.columns
 
 
-def test_directory_splits_overfull_buckets(spark):
+@pytest.mark.parametrize("most", [2, 20])
+def test_directory_splits_overfull_buckets(spark, most):
     keys = spark.range(2000).select(F.xxhash64("id").alias("key"))
-    cells = exact_dedup.directory(keys, 100, 8).collect()
-    held = collections.Counter()
-    for (k,) in keys.collect():
-        cell = (k % (1 << 64)) >> 56
-        held[next(c["bucket"] for c in cells if c["cell"] == cell)] += 1
-    assert max(held.values()) <= 100 and len({c["depth"] for c in cells}) >= 1 and sum(held.values()) == 2000
+    rounds = exact_dedup.directory(keys, 100, most)
+    assert (len(rounds) > 1) == (most == 2)
+    found = exact_dedup.placed(keys, rounds).collect()
+    held = collections.Counter(r["bucket"] for r in found)
+    assert len(found) == 2000 and None not in held and max(held.values()) <= 100 and len(held) >= 20
+    for r in found:  # a bucket's number is a one and then the key's leading bits
+        bits = f"{r['bucket']:b}"[1:]
+        assert f"{r['key'] % (1 << 64):064b}".startswith(bits)
 
 
 # -- 8 ---------------------------------------------------------------------------------------------------------------------------------------
@@ -387,6 +411,9 @@ def test_components_of_chains_and_stars(spark):
 # -- 10 --------------------------------------------------------------------------------------------------------------------------------------
 
 
+KEY = "a key"
+
+
 def luhn(s: str) -> bool:
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d)) % 10 == 0
@@ -397,7 +424,7 @@ def test_pii(spark, docs, empty):
     left = ["4532015112830367", "300.1.1.1", "2023-02-29", "000-12-3456", "12345", "v1.2", "a@b", "deadbeef"]
     body = lambda v: f"Ab {v} cd,\n{v}."
     rows = [(i, body(v)) for i, v in enumerate(values)] + [(100 + i, body(v)) for i, v in enumerate(left)] + [(200, None), (201, ""), (202, " ".join(values) * 200)]
-    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY))
     for i, v in enumerate(values):
         m = re.fullmatch(r"Ab (.*) cd,\n(.*)\.", got[i]["text"])
         assert m and m[1] == m[2] != v and got[i]["n_pii"] == 2, (v, got[i]["text"])
@@ -412,20 +439,150 @@ def test_pii(spark, docs, empty):
             __import__("datetime").date.fromisoformat(m[1])
     assert all(got[100 + i]["text"] == body(v) and got[100 + i]["n_pii"] == 0 for i, v in enumerate(left))
     assert got[200]["text"] is None and got[201]["text"] == "" and got[202]["n_pii"] > 200
-    out = pii.pseudonymise(docs, count_col=None)
+    out = pii.pseudonymise(docs, KEY, count_col=None)
     assert out.columns == docs.columns and {r["doc_id"]: r["text"] for r in out.collect()} == dict(texts())
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, KEY).count() == 0
 
 
 def test_pii_without_three_digits_in_a_row(spark):
     values = ["a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6", "+44 20 79 46 09 58"]
-    got = by_id(pii.pseudonymise(spark.createDataFrame([(i, f"Ab {v} cd") for i, v in enumerate(values)], "doc_id long, text string")))
+    got = by_id(pii.pseudonymise(spark.createDataFrame([(i, f"Ab {v} cd") for i, v in enumerate(values)], "doc_id long, text string"), KEY))
     assert all(got[i]["n_pii"] == 1 and v not in got[i]["text"] for i, v in enumerate(values))
 
 
 def test_pseudonyms_dont_meet(spark):
     rows = spark.range(3000).select(F.format_string("10.0.%d.%d", F.expr("id div 250"), F.col("id") % 250).alias("m"))
-    assert rows.select(F.expr(pii.pseudonym("m")).alias("p")).distinct().count() == 3000
+    assert rows.select(F.expr(pii.pseudonym("m", KEY)).alias("p")).distinct().count() == 3000
+
+
+def shifted(places: list[int], radix: list[int], kind: str, key: str) -> list[int]:
+    """The Feistel network by hand."""
+    half = len(places) // 2
+    for r in range(pii.ROUNDS):
+        other = places[half:] if r % 2 == 0 else places[:half]
+        moved = range(half) if r % 2 == 0 else range(half, len(places))
+        out = list(places)
+        for i in moved:
+            digest = hashlib.sha256("|".join([key, kind, str(r), str(i // 8), ",".join(map(str, other))]).encode()).hexdigest()
+            out[i] = (places[i] + int(digest[8 * (i % 8) : 8 * (i % 8) + 8], 16)) % radix[i]
+        places = out
+    return places
+
+
+def test_pseudonyms_by_hand(spark):
+    secret, mail, phone, address = "24be64439E3e49cf46b2d7c90f3602a3", "jo.52@mail1.example.com", "+44 20 79 46 09 58", "8.196.197.208"
+    rows = spark.createDataFrame([(0, secret), (1, mail), (2, phone), (3, address), (4, "2024-02-29")], "i long, m string")
+    got = {r["i"]: r["p"] for r in rows.select("i", F.expr(pii.pseudonym("m", KEY)).alias("p")).collect()}
+
+    def char(c: str, letters: int) -> tuple[int, int]:
+        return (int(c), 10) if c.isdigit() else (ord(c.lower()) - 97, letters) if c.isalpha() else (0, 1)
+
+    def written(text: str, letters: int, kind: str) -> str:
+        pairs = [char(c, letters) for c in text]
+        out = shifted([v for v, _ in pairs], [r for _, r in pairs], kind, KEY)
+        return "".join(str(v) if c.isdigit() else chr((97 if c.islower() else 65) + v) if c.isalpha() else c for c, v in zip(text, out, strict=True))
+
+    assert got[0] == written(secret, 6, "secret")
+    assert got[1] == written("jo.52", 26, "email") + "@mail1.example.com"
+    assert got[2] == "+44" + written(phone[3:], 26, "phone")
+    assert got[3] == ".".join(map(str, shifted([8, 196, 197, 208], [256] * 4, "ip", KEY)))
+    import datetime
+
+    day = (datetime.date(2024, 2, 29) - datetime.date(1800, 1, 1)).days
+    a, b = shifted([day // 773, day % 773], [189, 773], "date", KEY)
+    assert got[4] == str(datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b))
+
+
+def test_pii_of_many_forms(spark):
+    values = ["josé.ñandú@example.org", "李小龙@example.cn", "+33 1 23 45 67 89", "555 234 5678", "3782 822463 10005", "02/28/2024", "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8::8a2e:370", "+14155550100"]
+    left = ["01.2.3.4", "13/45/2024", "1 2 3 4 5 6 7 8", "de:ad", "3782 822463 10006", "12:34:56"]
+    rows = [(i, f"Ab {v} cd") for i, v in enumerate(values + left)]
+    got = by_id(pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY))
+    for i, v in enumerate(values):
+        assert got[i]["n_pii"] == 1 and v not in got[i]["text"] and re.fullmatch("Ab .+ cd", got[i]["text"]), (v, got[i])
+        assert len(got[i]["text"]) == len(rows[i][1])
+    assert got[8]["text"].startswith("Ab +1") and got[2]["text"].startswith("Ab +33 ")
+    for i, v in enumerate(left, len(values)):
+        assert got[i]["text"] == rows[i][1] and got[i]["n_pii"] == 0, v
+
+
+# -- hard rows through all operators ---------------------------------------------------------------------------------------------------------------
+
+HARD_SCHEMA = "doc_id long, text string, lang string, key string, row string, kept string, n_pii string, node string, bucket string, whole string"
+
+
+def hard_rows() -> list[tuple]:
+    """Null ids, repeated ids and rows, a run of a million letters, a very long text, nulls, blanks, and names that operators use."""
+    base = " ".join(f"word{k}" for k in range(80))
+    data = [(None, base), (None, base + " end"), (None, None), (1, base), (1, base), (1, "quite another text here, mail jo.52@mail.example.com"), (2, "y" * 1_000_000)]
+    data += [(3, ""), (4, " "), (5, "1 2 3"), (6, "ab cd " * 40_000), (7, base + " end"), (None, "alone"), (8, "alone"), (None, "only null")]
+    return [(i, t, ("en", None)[k % 2], "k", "r", "x", "n", "o", "b", "w") for k, (i, t) in enumerate(data)]
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    return spark.createDataFrame(hard_rows(), HARD_SCHEMA).repartition(3).cache()
+
+
+def ids_of(df) -> list[str]:
+    return sorted(str(r["doc_id"]) for r in df.select("doc_id").collect())
+
+
+def test_hard_rows_of_row_wise_operators(spark, hard):
+    want = sorted(str(r[0]) for r in hard_rows())
+    assert ids_of(pii.pseudonymise(hard, KEY)) == want
+    assert ids_of(exact_dedup.exact_dedup(hard)) == want
+    assert ids_of(packing.pack_documents(hard, WORDS).filter("piece = 0")) == want
+    assert ids_of(langid.predict(hard.select("doc_id", "text"), langid.train(hard))) == want
+    assert len(by_id(exact_dedup.keep_one(hard), "text")) == exact_dedup.keep_one(hard).count() == len({r[1] or "" for r in hard_rows()})
+    assert exact_dedup.keep_one(hard).columns == hard.columns
+
+
+def test_hard_rows_of_byte_bpe(hard):
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in byte_bpe.digests(hard, ranks, public_tokenizers.PATTERN).collect())
+    assert got == sorted((str(r[0]), len(enc.encode_ordinary(r[1] or "")), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in hard_rows())
+
+
+def test_hard_rows_of_near_dedup(hard):
+    got = near_dedup.near_dedup(hard).collect()
+    seen = sorted((str(r["doc_id"]), str(r["component_id"]), r["n_shingles"], r["kept"]) for r in got)
+    want = [("None", "1", 76, False), ("None", "1", 77, False), ("None", "None", 0, False), ("1", "1", 76, True), ("1", "1", 76, True), ("1", "1", 5, True), ("2", "2", 1, True), ("3", "3", 0, True), ("4", "4", 0, True), ("5", "5", 1, True)]
+    want += [("6", "6", 2, True), ("7", "1", 77, False), ("None", "8", 1, False), ("8", "8", 1, True), ("None", "None", 1, False)]
+    assert seen == sorted(want)
+    kept = near_dedup.keep_one(hard)
+    assert kept.columns == hard.columns
+    stay = collections.Counter((str(r["doc_id"]), (r["text"] or "")[:30]) for r in kept.collect())
+    base = hard_rows()[0][1][:30]
+    assert stay == {("1", base): 1, ("1", "quite another text here, mail "): 1, ("2", "y" * 30): 1, ("3", ""): 1, ("4", " "): 1, ("5", "1 2 3"): 1, ("6", ("ab cd " * 5)): 1, ("8", "alone"): 1, ("None", ""): 1, ("None", "only null"): 1}
+
+
+def test_hard_rows_of_repeats(hard):
+    data = [(str(r[0]), (r[1] or "").encode()) for r in hard_rows()]
+    n = repeats.LENGTH
+    seen = collections.Counter(x[k : k + n] for _, x in data for k in range(len(x) - n + 1))
+    want = []
+    for i, x in data:
+        hit = np.zeros(len(x) + 1, int)
+        for k in range(len(x) - n + 1):
+            if seen[x[k : k + n]] > 1:
+                hit[k] += 1
+                hit[k + n] -= 1
+        on = hit.cumsum()[:-1] > 0
+        want.append((i, len(x), int(on.sum()), hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~on])).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in repeats.remove_repeats(hard).collect()) == sorted(want)
+
+
+def test_hard_rows_of_warc(spark):
+    html = "x" * 200
+    rows = [(1, "http://a\r\nWARC-Payload-Digest: sha256:" + "0" * 64, html), (2, "http://b%0D%25", html), (None, "http://c", html), (None, "u", "z" * 100), (3, "", "s"), (4, None, "s"), (4, None, "s"), (5, "http://long", "q" * 1_000_000)]
+    got = warc.archived(spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")).collect()
+    seen = sorted((str(r["page_id"]), str(r["url"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in got)
+    kind = lambda i, h: ("revisit", "1") if h == html and i != 1 else ("response", "None")
+    assert seen == sorted((str(i), str(u), len(h), *kind(i, h)) for i, u, h in rows)
 
 
 # -- pipeline ----------------------------------------------------------------------------------------------------------------------------------
