@@ -1,4 +1,9 @@
-"""A corpus pipeline: language, exact copies, near copies, personal data, packing. Each stage reads all that its predecessor kept."""
+"""A corpus pipeline: language, exact copies, near copies, personal data, packing. Each stage reads all that its predecessor kept.
+
+Defined cases: null texts and texts without a letter go in the first stage; rows whose id is null or repeated are documents like others in every stage; of rows
+that repeat one, one stays; very long texts are read whole; an empty table gives an empty result; other columns stay until the last stage, whatever their names.
+The key of pseudonyms is the session's ``framewise.pii.key``; without it, one for synthetic tables.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from framewise.llm.common import saved, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter in them) go."""
+    """Documents without a language (no letter in them) go; a missing label becomes the predicted one."""
     return langid.keep_known(docs)
 
 
@@ -26,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by pseudonyms in the text."""
-    return pii.pseudonymise(docs, count_col=None)
+    return pii.pseudonymise(docs, spark.conf.get("framewise.pii.key", "synthetic tables"), count_col=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
