@@ -133,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     step = F.greatest(F.lit(1), F.expr(f"(length(text) - {WINDOW}) div {SAMPLE_WINDOWS}"))
     pieces = [F.substr("text", (step * i + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
     pieces = chosen.select("lang", *(p.alias(f"p{i}") for i, p in enumerate(pieces))).distinct()  # rows that repeat an id teach once
-    rows = pieces.orderBy(F.xxhash64("*"), *pieces.columns).limit(SAMPLE * len(langs)).collect()
+    rows = pieces.orderBy(F.xxhash64(*pieces.columns), *pieces.columns).limit(SAMPLE * len(langs)).collect()
     windows, labels = [], []
     for r in rows:
         for piece in {r[f"p{i}"] for i in range(SAMPLE_WINDOWS)}:
