@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import LEADING
+
 #: Codecs whose tracks count as audio (fixed by the format).
 AUDIO_CODECS = ("Opus", "fLaC", "mp4a", "ac-3", "ec-3", "samr", "ipcm", "fpcm", "sowt", "twos", "lpcm", "in24", "in32", "fl32", "fl64", "s16l")
 VIDEO_CODECS = ("avc1",)
@@ -31,6 +33,11 @@ def inspected(tracks: DataFrame) -> DataFrame:
     )
 
 
+def leading_frames(index: DataFrame) -> DataFrame:
+    """``media_id, leading``: how many frames carry the flag of a leading sample."""
+    return index.groupBy("media_id").agg(F.count_if(F.col("flags").bitwiseAND(LEADING) != 0).alias("leading"))
+
+
 def open_gops(index: DataFrame) -> DataFrame:
     """``media_id, open_gop``: a leading sample or one that needs an earlier random access point."""
     return index.groupBy("media_id").agg((F.count_if(F.col("flags").bitwiseAND(34) != 0) > 0).alias("open_gop"))

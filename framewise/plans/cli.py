@@ -150,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
             a = an.analyze(session(), args.input, cache, args.jl_file, args.logo, args.jls_set)
             if args.report:
                 num, den = (int(a.header.get(f"time_base_{k}", 1)) for k in ("num", "den"))
-                sys.stderr.write(an.boundary_report(a, num, den) + "\n".join(an.warnings(a, 30000 / 1001)) + "\n" + an.verdict_report(verdict_of(a), 0))
+                sys.stderr.write(an.boundary_report(a, num, den) + "\n".join(an.warnings(a, 30000 / 1001)) + "\n" + an.verdict_report(a))
         elif args.command == "cut":
             trim = sys.stdin.read() if args.trim == "-" else Path(args.trim).read_text()
             index = rt.resolve(args.dtvi, cache.index, "index").read_text()

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as ad
-from .functions import text as tx
+from .functions import reports, text as tx
 from .operators import audio, logo, packets as pk, ranges as rg, remap, report, signal, tracks as tr, verify as vf
 from .operators.sequence import as_of, carried, running
+from .plans import subtitles
 from .sources import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -798,3 +799,136 @@ def frame_count(spark, d):
     rows = ad.packets(spark, d)
     heads = rows.groupBy("media_id").agg((F.count(F.lit(1)) + F.when(F.count(F.lit(1)) % 6 == 0, 1).otherwise(0)).alias("header_frame_count"))
     return vf.frame_count(rows, heads)
+
+
+# -- reports -------------------------------------------------------------------------------------------------------------------------------------------
+
+SQL_LF = "chr(10)"
+
+
+def _c(text: str) -> str:
+    """SQL for a fixed text that holds line feeds."""
+    return "(" + f" || {SQL_LF} || ".join(f"'{x}'" for x in text.split("\n")) + ")"
+
+
+SNAP = """, d AS (SELECT q.*, round((cp.units - cb.units) / 30000.0, 6) + 0.0 AS ps, round((cn.units - cb.units) / 30000.0, 6) + 0.0 AS ns FROM q JOIN c cb ON cb.at = boundary LEFT JOIN c cp ON cp.at = prev LEFT JOIN c cn ON cn.at = next),
+mv AS (SELECT range_id, min(coalesce(prev, boundary)) FILTER (kind = 'start') AS s, max(coalesce(next, boundary)) FILTER (kind = 'end') AS e, min(boundary) FILTER (kind = 'start') AS so, max(boundary) FILTER (kind = 'end') AS eo FROM q GROUP BY range_id),
+sm AS (SELECT count(*) AS k, sum((so - s) + (eo * 0 + e - eo)) * 1001 / 30000.0 AS extra, sum(e - s) * 1001 / 30000.0 AS out FROM mv)"""
+
+
+@query(
+    "k15_boundary_report",
+    both("frames n coarse coarse_structure", BOUNDARIES.format(frames="frames") + SNAP + f""",
+ln AS (SELECT string_agg(printf({_c(reports.BOUNDARY)}, CASE kind WHEN 'start' THEN '{reports.START}' ELSE '{reports.END}' END, boundary, CASE WHEN prev IS NULL THEN '{reports.NO_KEYFRAME}' ELSE printf('{reports.KEYFRAME}', prev, ps) END,
+CASE WHEN next IS NULL THEN '{reports.NO_KEYFRAME}' ELSE printf('{reports.KEYFRAME}', next, ns) END), '' ORDER BY range_id, boundary) AS t FROM d),
+gr AS (SELECT string_agg(printf({_c(reports.GRID)}, "start", "end", error_frames), '' ORDER BY entry_id) AS t FROM coarse_structure WHERE label = ':CM')
+SELECT 'm' AS media_id, printf({_c(reports.TOTALS)}, k, 2 * k, extra, extra / (2 * k), printf('%02d:%02d', CAST(round(out) AS BIGINT) // 60, CAST(round(out) AS BIGINT) % 60)) || chr(10) || ln.t || chr(10) || {_c(reports.GRID_TITLE)} || gr.t AS text FROM sm, ln, gr"""),
+)
+def boundary_text(spark, d):
+    frames, ranges = ad.frames(spark, d), ad.coarse_ranges(spark, d)
+    totals = ad.totals(frames)
+    near = report.boundary_distances(ranges, frames, totals, 1, 30000).withColumns({"prev_s": F.round("prev_s", 6), "next_s": F.round("next_s", 6)})
+    return reports.boundary_report(near, report.snap_summary(ranges, frames, totals, "outward", 1, 30000), ad.coarse_structure(spark, d))
+
+
+@query("k16_gate_report", both("n coarse coarse_structure", MISSED + f""", k AS (SELECT count(*) AS ranges, CAST(sum("end" - "start") AS BIGINT) AS kept FROM coarse), x AS (SELECT count(*) AS missed FROM m),
+e AS (SELECT count(*) FILTER (abs(error_frames) > 5) AS off_grid, max(abs(error_frames)) AS most FROM coarse_structure WHERE label = ':CM')
+SELECT 'm' AS media_id, printf({_c(reports.GATE)}, missed, CASE WHEN missed > 0 THEN '{reports.STOPS}' ELSE '' END, ranges, n - kept, n, CASE WHEN n = kept THEN '{reports.STOPS}' ELSE '' END, 100 * kept / n::DOUBLE)
+|| printf({_c(reports.GATE_GRID)}, off_grid, printf('{reports.LARGEST}', most), CASE WHEN missed > 0 OR n = kept THEN '{reports.STOP}' ELSE '{reports.GO}' END) AS text FROM n, k, x, e"""))
+def gate_text(spark, d):
+    return reports.gate_report(report.verdict(ad.coarse_ranges(spark, d), ad.coarse_structure(spark, d), ad.totals(ad.frames(spark, d))))
+
+
+@query("k17_av_report", both("n coarse segments audio", AV + f""", r AS (SELECT *, row_number() OVER (ORDER BY range_id) AS i FROM w)
+SELECT 'm' AS media_id, printf({_c(reports.AV)}, count(*), arg_max(diff_ms, struct_pack(a := abs(diff_ms), b := -i)), arg_max(i, struct_pack(a := abs(diff_ms), b := -i)), sum(diff_ms), CASE WHEN max(abs(diff_ms)) > 40 THEN '{reports.AV_WARNING}' ELSE '' END)
+|| string_agg(printf({_c(reports.AV_SEGMENT)}, i, video_s, audio_s, diff_ms), '' ORDER BY i) AS text FROM r"""))
+def av_text(spark, d):
+    found = _av(spark, d)
+    return reports.av_report(ad.totals(ad.frames(spark, d)), found, audio.av_summary(found))
+
+
+@query("k18_missed_warnings", both("n coarse coarse_structure", MISSED + f""", t AS (SELECT *, CAST(floor("start" / (30000 / 1001.0)) AS BIGINT) AS a, CAST(floor("end" / (30000 / 1001.0)) AS BIGINT) AS b FROM m)
+SELECT media_id, range_id, entry_id, printf('{reports.MISSED}', printf('%02d:%02d', a // 60, a % 60), printf('%02d:%02d', b // 60, b % 60), "start", "end", length_frames, matched_gap_length, greatest(0, "start" - 1), "end" + 1) AS text FROM t"""))
+def missed_text(spark, d):
+    found = report.missed_candidates(ad.coarse_ranges(spark, d), ad.coarse_structure(spark, d))
+    return found.select("media_id", "range_id", "entry_id", reports.missed_warning(30000 / 1001).alias("text"))
+
+
+# -- subtitle files, segment maps ------------------------------------------------------------------------------------------------------------------------
+
+
+def _file(rows: DataFrame, head: str, *lines) -> DataFrame:
+    """One file of all events, in their order."""
+    held = rows.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(*lines).alias("t")))).alias("ts"))
+    return held.select("media_id", F.concat(F.lit(head), F.expr("array_join(transform(ts, t -> t.t), '')")).alias("text"))
+
+
+def _srt(spark, d) -> DataFrame:
+    start = F.col("event_id") * 33
+    rows = ad.table(spark, d, "events").select(ad.media(), "event_id")
+    times = tx.format_srt_time(start), F.lit(" --> "), tx.format_srt_time(start + 500 + F.col("event_id") % 700)
+    return _file(rows, "", F.col("event_id").cast("string"), F.lit("\n"), *times, F.lit(" X1:1\nline "), F.col("event_id").cast("string"), F.lit("\n\n"))
+
+
+def _events_sql(unit: int, start: str, end: str) -> str:
+    return f"""+ sub_events AS (SELECT 'm' AS media_id, event_id, {start} * {unit} AS "start", {end} * {unit} AS "end" FROM events), {FATE.removeprefix("+")}"""
+
+
+SRT_TIME = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} // 60000 % 60, {0} // 1000 % 60, {0} % 1000)"
+ASS_TIME = "printf('%d:%02d:%02d.%02d', {0} // 360000, {0} // 6000 % 60, {0} // 100 % 60, {0} % 100)"
+
+
+@query("f29_srt_remap", both("n coarse segments", _events_sql(30, "event_id * 33", "(event_id * 33 + 500 + event_id % 700)") + f""", o AS (SELECT *, os // 30 AS a, (oe + 29) // 30 AS b FROM f)
+SELECT 'm' AS media_id, string_agg(CASE WHEN fate = 'Discarded' THEN chr(10) ELSE event_id || chr(10) || {SRT_TIME.format("a")} || ' --> ' || {SRT_TIME.format("b")} || ' X1:1' || chr(10) || 'line ' || event_id || chr(10) || chr(10) END, '' ORDER BY event_id) AS text FROM o"""))
+def srt_remap(spark, d):
+    return subtitles.remap_srt(_srt(spark, d), ad.segments(spark, d), 30000)[0]
+
+
+@query("s25_srt_blocks", "SELECT 'm' AS media_id, event_id AS block, 4 AS lines FROM events")
+def srt_blocks(spark, d):
+    return texts.srt_blocks(texts.split_lines(_srt(spark, d))).groupBy("media_id", "block").agg(F.count(F.lit(1)).alias("lines"))
+
+
+ASS_HEAD = "[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"
+
+
+@query("f28_ass_remap", both("n coarse segments", _events_sql(300, "event_id * 3", "(event_id * 3 + 50 + event_id % 70)") + f""", o AS (SELECT *, os // 300 AS a, (oe + 299) // 300 AS b FROM f)
+SELECT 'm' AS media_id, {_c(ASS_HEAD)} || string_agg('Dialogue: 0,' || {ASS_TIME.format("a")} || ',' || {ASS_TIME.format("b")} || ',Default,text, line ' || event_id || chr(10), '' ORDER BY event_id) FILTER (fate <> 'Discarded') AS text FROM o"""))
+def ass_remap(spark, d):
+    start = F.col("event_id") * 3
+    rows = ad.table(spark, d, "events").select(ad.media(), "event_id")
+    times = tx.format_ass_time(start), F.lit(","), tx.format_ass_time(start + 50 + F.col("event_id") % 70)
+    files = _file(rows, ASS_HEAD, F.lit("Dialogue: 0,"), *times, F.lit(",Default,text, line "), F.col("event_id").cast("string"), F.lit("\n"))
+    return subtitles.remap_ass(files, ad.segments(spark, d), 30000)[0]
+
+
+@query("f8_fixed_time_split", f"SELECT event_id, {SRT_TIME.format('v')} AS time, ' X1:' || v AS rest FROM (SELECT event_id, event_id * 7919 AS v FROM events)")
+def fixed_time_split(spark, d):
+    v = F.col("event_id") * 7919
+    time, rest = tx.split_time(F.concat(tx.format_srt_time(v), F.lit(" X1:"), v.cast("string")))
+    return ad.table(spark, d, "events").select("event_id", time.alias("time"), rest.alias("rest"))
+
+
+@query("p8_p10_text_flags", """SELECT event_id, event_id % 3 = 0 AS cancelled, event_id % 4 = 1 AS relative, event_id % 5 = 2 AS bom FROM events""")
+def text_flags(spark, d):
+    i = F.col("event_id")
+    label = F.concat(F.lit(":CM"), F.when(i % 3 == 0, "(cut-cancel)").otherwise(""))
+    tag = F.concat(F.lit("{\\b1"), F.when(i % 4 == 1, tx.RELATIVE_TAGS[0]).otherwise(""), F.lit("}text"))
+    text = F.concat(F.when(i % 5 == 2, texts.BOM).otherwise(""), F.lit("1"))
+    return ad.table(spark, d, "events").select("event_id", tx.is_cut_cancelled(label).alias("cancelled"), tx.has_relative_timing(tag).alias("relative"), texts.has_bom(text).alias("bom"))
+
+
+@query("s18_segment_map_parse", both("n coarse segments", 'SELECT s.media_id, s.source_start_dts, s.duration, s.output_start, c."start" AS source_start_frame, n AS total_frames FROM segments s JOIN coarse c USING (range_id), n'))
+def segment_map_parse(spark, d):
+    rows = ad.segments(spark, d).join(ad.coarse_ranges(spark, d), ["media_id", "range_id"])
+    parts = F.struct(F.col("start").alias("source_start_frame"), F.col("end").alias("source_end_frame"), "source_start_dts", (F.col("end") - F.col("start")).alias("frame_count"), "output_start", "duration")
+    files = rows.groupBy("media_id").agg(F.collect_list(parts).alias("segments")).join(ad.totals(ad.frames(spark, d)), "media_id")
+    whole = F.struct("segments", F.lit(30000).alias("video_timescale"), F.lit(30000).alias("frame_rate_num"), F.lit(1001).alias("frame_rate_den"), F.lit("a.mp4").alias("input"), "total_frames")
+    found, _ = texts.parse_segment_map(files.select("media_id", F.to_json(whole).alias("text")))
+    return found.select("media_id", F.explode("segments").alias("s"), "total_frames").select("media_id", "s.source_start_dts", "s.duration", "s.output_start", "s.source_start_frame", "total_frames")
+
+
+@query("a4_leading_frames", "SELECT media_id, CAST(count(*) FILTER (d % 64 & 2 <> 0) AS BIGINT) AS leading FROM (SELECT CAST(user_id AS VARCHAR) AS media_id, event_id AS d FROM events) GROUP BY media_id")
+def leading_frames(spark, d):
+    rows = ad.table(spark, d, "events").select(F.col("user_id").cast("string").alias("media_id"), (F.col("event_id") % 64).cast("int").alias("flags"))
+    return tr.leading_frames(rows)

@@ -219,3 +219,42 @@ def test_layout_beyond_32_bits():
     assert bmff.plan_mdat(24, 1000) == (8, False) and bmff.plan_mdat(24, bmff.LIMIT32 - 8) == (8, True) and bmff.plan_mdat(24, bmff.LIMIT32) == (16, True)
     assert bmff.mdat_header(16, 10) == struct.pack(">I4sQ", 1, b"mdat", 26)
     assert [len(c) for c in bmff.chunked([(0, 1, 400, 0, True)] * 7, 1000)] == [3, 3, 1] and len(bmff.chunked([(0, 1, 4, 0, True)] * 7, 0)) == 1
+
+
+def test_scores_by_hand_with_negative_coefficients():
+    """Coefficients below zero show the background, levels are multiples of eight, and correlations count by their size."""
+    size, rng = 8, np.random.default_rng(3)
+    alpha = rng.choice([0.0, 0.2, 0.5, 1.25], size * size)
+    a, b = 1 / (1 - alpha), -alpha * 100 / (255 * (1 - alpha))
+    model = logo.mask(a, b, size, size)
+
+    def shown(level):
+        return [(level - y * 255) / x if x > 0 else level for x, y in zip(a, b, strict=True)]
+
+    def window(image, y, x):
+        return [image[(y + dy) * size + x + dx] for dy in range(-2, 3) for dx in range(-2, 3)]
+
+    points = [(y, x) for y in range(2, size - 2) for x in range(2, size - 2)]
+    kernel, corr = {}, {}
+    for p in points:
+        near = window(shown(0), *p)
+        kernel[p] = [v - sum(near) / 25 for v in near]
+        for c in range(32):
+            near = window(shown(8 * c), *p)
+            corr[p, c] = sum(k * (v - sum(near) / 25) for k, v in zip(kernel[p], near, strict=True))
+    assert min(corr.values()) < 0 < max(corr.values()) and (a < 0).any()
+    full = 0.2 * sum(map(abs, corr.values())) / len(corr)
+
+    def raw(image):
+        total = 0.0
+        for p in points:
+            near = window(image, *p)
+            mean = sum(near) / 25
+            c = abs(corr[p, int(min(255, max(0, mean))) >> 3])
+            size_ = sum(k * (v - mean) for k, v in zip(kernel[p], near, strict=True)) * (1 / c if c > 0 else 0)
+            total += max(-1, min(1, size_)) * min(1, c / full)
+        return total
+
+    for plane in rng.integers(0, 256, (5, size * size)).astype(float):
+        corr0, corr1 = model.scores(plane[None])
+        assert corr0[0] == pytest.approx(raw(plane) / raw(shown(16))) and corr1[0] == pytest.approx(raw(a * plane + b * 255) / raw(shown(16)))
