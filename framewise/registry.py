@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from .functions import reports, text as tx
+from .functions.indices import DisplayIdx
 from .operators import audio, logo, packets as pk, ranges as rg, remap, report, signal, tracks as tr, verify as vf
 from .operators.sequence import as_of, carried, running
 from .plans import subtitles
@@ -932,3 +933,10 @@ def segment_map_parse(spark, d):
 def leading_frames(spark, d):
     rows = ad.table(spark, d, "events").select(F.col("user_id").cast("string").alias("media_id"), (F.col("event_id") % 64).cast("int").alias("flags"))
     return tr.leading_frames(rows)
+
+
+@query("f27_index_arithmetic", """SELECT event_id, v - event_id AS frames, v + 7 AS later, CASE WHEN v * 5 + 4294960000 <= 4294967295 THEN v * 5 + 4294960000 END AS checked FROM (SELECT event_id, event_id + event_id % 13 AS v FROM events)""")
+def index_arithmetic(spark, d):
+    at, here = DisplayIdx(F.col("event_id") + F.col("event_id") % 13), DisplayIdx(F.col("event_id"))
+    far = DisplayIdx(at.column * 5).checked_add(4294960000)
+    return ad.table(spark, d, "events").select("event_id", (at - here).alias("frames"), (at + 7).column.alias("later"), far.alias("checked"))

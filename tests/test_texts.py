@@ -127,3 +127,19 @@ def test_runtime(tmp_path):
     first = rt.Cache.of(source, tmp_path / "c").folder
     source.write_bytes(b"22")
     assert rt.Cache.of(source, tmp_path / "c").folder != first and first.name.endswith("-a_b")
+
+
+def test_index_arithmetic(spark):
+    from framewise.functions.indices import DecodeIdx, DisplayIdx
+
+    a, b = DisplayIdx(F.col("a")), DisplayIdx(F.col("b"))
+    with pytest.raises(TypeError):
+        a - DecodeIdx(F.col("b"))
+    with pytest.raises(TypeError):
+        a + b
+    rows = spark.createDataFrame([(7, 3), (4294967295, 0)], "a long, b long")
+    got = rows.select((a - b).alias("n"), a.checked_add(1).alias("c")).collect()
+    assert [tuple(r) for r in got] == [(4, 8), (4294967295, None)]
+    for bad in (b - a, (a + 1).column):
+        with pytest.raises(Exception, match="index"):
+            rows.select(bad).collect()
