@@ -32,7 +32,7 @@ END = 1
 #: Words, and pieces, that a worker keeps.
 CACHE = 400_000
 #: Fillings that the search may try before it keeps its incumbent.
-NODES = 8000
+NODES = 6000
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -258,6 +258,10 @@ def bin_completion(counts: dict[int, int], size: int = SIZE, nodes: int = NODES)
             choices = open_()
         else:
             best, bins, choices = [(h, n) for h, n, _ in path], spent, iter(())
+    if bins > least and path:  # the budget is spent inside a plan: best-fit decreasing completes it
+        tail = best_fit_decreasing({int(k): int(left[k]) for k in np.flatnonzero(left)}, size)
+        if spent + sum(n for _, n in tail) < bins:
+            best = [(h, n) for h, n, _ in path] + tail
     return best
 
 
