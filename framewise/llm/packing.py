@@ -33,6 +33,8 @@ END = 1
 CACHE = 400_000
 #: Fillings that the search may try before it keeps its incumbent.
 NODES = 6000
+#: Sequences back to which other fillings are kept, each some megabytes at most.
+BACK = 32
 
 Plan = list[tuple[dict[int, int], int]]
 
@@ -202,7 +204,7 @@ def bin_completion(counts: dict[int, int], size: int = SIZE, nodes: int = NODES)
     """A plan with as few sequences as branch and bound finds in ``nodes`` fillings; never more than best-fit decreasing uses.
 
     A node fills one sequence around the largest piece left, and repeats that filling while its pieces last. Depth first, its fillings are tried in their order; one whose waste
-    would use up what a better plan may waste in all is pruned, and where none is left the search goes back. A complete plan, or one that best-fit decreasing completes,
+    would use up what a better plan may waste in all is pruned, and where none is left the search goes back, to one of the last ``BACK`` fillings. A complete plan, or one that best-fit decreasing completes,
     becomes the incumbent if it uses fewer sequences. The search ends where the incumbent reaches the least possible number.
     """
     counts = {k: n for k, n in counts.items() if n > 0}
@@ -251,6 +253,8 @@ def bin_completion(counts: dict[int, int], size: int = SIZE, nodes: int = NODES)
         if lost:
             times = min(times, allowed // lost)
         path.append((used, times, choices))
+        if len(path) > BACK:  # what is far back isn't come back to
+            path[-BACK - 1] = (*path[-BACK - 1][:2], iter(()))
         spent, waste = spent + times, waste + times * lost
         for k, n in used.items():
             left[k] -= n * times
