@@ -200,3 +200,22 @@ def test_chunk_offsets_and_run_lengths(spark):
     chunks = spark.createDataFrame([("m", 1, 100), ("m", 2, 1000)], "media_id string, chunk int, offset long")
     got = pk.packet_offsets(stsc, chunks, p.select("media_id", "decode_idx", "size")).orderBy("decode_idx").collect()
     assert [r["file_offset"] for r in got] == [100, 110, 1000, 1010, 1020]
+
+
+def test_report_texts(spark):
+    """The layout of reports, with and without key frames around a boundary and detected blocks."""
+    from types import SimpleNamespace
+
+    from framewise.plans import analyze
+
+    frames = spark.createDataFrame([("m", i, 1001, i == 30) for i in range(60)], "media_id string, display_idx long, duration long, is_key boolean")
+    ranges = spark.createDataFrame([("m", 0, 10, 40)], "media_id string, range_id long, start long, end long")
+    totals = spark.createDataFrame([("m", 60)], "media_id string, total_frames long")
+    entries = spark.createDataFrame([("m", 0, 0, 9, -2, ":CM"), ("m", 1, 10, 39, 0, ":L")], "media_id string, entry_id long, start long, end long, error_frames long, label string")
+    a = SimpleNamespace(ranges=ranges, frames=frames, totals=totals, entries=entries)
+    text = analyze.boundary_report(a, 1, 30000)
+    assert text.startswith("保持区間数 1 / カット境界数 2\n") and "境界(開始)     10 : 直前KF=     -  直後KF=    30 (+0.67s)\n" in text
+    assert "境界(終了)     40 : 直前KF=    30 (-0.33s)  直後KF=     -\n" in text and text.endswith("\nCM ブロックの15秒格子誤差:\n       0-9      誤差 -2 フレーム\n")
+    gate = analyze.verdict_report(a)
+    assert gate.startswith("gate 判定:\n  見逃し候補: 0 件\n  保持区間数 1 / 除去フレーム数 30（総 60 フレーム中）\n  保持率 50.0%") and gate.endswith("保証ではない）\n")
+    assert analyze.warnings(a, 30.0) == []
