@@ -30,7 +30,7 @@ from .common import in_arrow, per_process, saved
 SIZE = 4096
 END = 1
 #: Words, and pieces, that a worker keeps.
-CACHE = 400_000
+CACHE = 600_000
 #: Fillings that the search may try before it keeps its incumbent.
 NODES = 6000
 #: Sequences back to which other fillings are kept, each some megabytes at most.
