@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .operators.sequence import islands
 
+#: Packets of the second stream that one row gives.
+CELL = 16_384
+
+
 def media():
     return F.lit("m").alias("media_id")
 
@@ -81,7 +85,9 @@ def coarse_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second stream over the same clock at 48,000 units a second; the first packet is long."""
     n = totals(frames(spark, sf_dir)).select("media_id", F.expr("total_frames * 1001 * 48000 div 30000 div 960").alias("n"))
-    rows = n.select("media_id", F.explode(F.expr("sequence(0L, n - 1)")).alias("decode_idx"))
+    # cells are dealt out before they are filled, so no row and no task holds all numbers
+    cells = n.filter("n > 0").select("media_id", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {CELL})")).alias("cell")).repartition("cell")
+    rows = cells.select("media_id", F.explode(F.expr(f"sequence(cell * {CELL}, least(n, (cell + 1) * {CELL}) - 1)")).alias("decode_idx"))
     return rows.withColumn("duration", F.when(F.col("decode_idx") == 0, 3852).otherwise(960).cast("long"))
 
 

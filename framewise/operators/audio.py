@@ -47,7 +47,7 @@ def audio_segments(segments: DataFrame, audio: DataFrame, video_timescale: int,
     ends = segments.withColumns({"_s": ticks("source_start_dts"), "_e": ticks("(source_start_dts + duration)")})
     sides = F.array(F.struct(F.lit("s").alias("side"), F.col("_s").alias("target")), F.struct(F.lit("e").alias("side"), F.col("_e").alias("target")))
     found = nearest_by_time(ends.select("media_id", "range_id", F.explode(sides).alias("x")).select("media_id", "range_id", "x.*"), audio, KEY)
-    timed = running(audio, KEY, "decode_idx", _t=("duration", True)).select("media_id", (F.col("decode_idx") + 1).alias("nearest"), F.col("_t"))
+    timed = running(audio, KEY, "decode_idx", _t=("duration", True)).select("media_id", (F.col("decode_idx") + 1).alias("nearest"), F.col("_t")).hint("merge")
     found = found.join(timed, ["media_id", "nearest"], "left").withColumn("off", F.abs(F.coalesce("_t", F.lit(0)) - F.col("target")))
     of = lambda k, c: F.max(F.when(F.col("side") == k, F.col(c)))
     both = found.groupBy("media_id", "range_id").agg(of("s", "nearest").alias("start"), of("e", "nearest").alias("end"), F.max("off").alias("off"))
@@ -60,7 +60,7 @@ def audio_segments(segments: DataFrame, audio: DataFrame, video_timescale: int,
 def av_segments(durations: DataFrame, chosen: DataFrame, audio: DataFrame, video_timescale: int, audio_timescale: int) -> DataFrame:
     """``media_id, range_id, video_s, audio_s, diff_ms`` by segment."""
     sums = running(audio, KEY, "decode_idx", _t=("duration", True)).select("media_id", (F.col("decode_idx") + 1).alias("_i"), "_t")
-    at = lambda c, t: sums.select("media_id", F.col("_i").alias(c), F.col("_t").alias(t))
+    at = lambda c, t: sums.select("media_id", F.col("_i").alias(c), F.col("_t").alias(t)).hint("merge")
     rows = durations.join(chosen, ["media_id", "range_id"]).join(at("start", "_t0"), ["media_id", "start"], "left").join(at("end", "_t1"), ["media_id", "end"], "left")
     video, sound = F.col("duration") / float(video_timescale), (F.coalesce("_t1", F.lit(0)) - F.coalesce("_t0", F.lit(0))) / float(audio_timescale)
     return rows.select("media_id", "range_id", video.alias("video_s"), sound.alias("audio_s"), ((sound - video) * 1000).alias("diff_ms"))

@@ -193,7 +193,8 @@ def nearest_by_time(targets: DataFrame, packets: DataFrame, keys: list[str], tar
     marks = marks.unionByName(zero).groupBy(*keys, "_t").agg(F.min("_i").alias("_i"), F.max("_j").alias("_j"))
     # the clock, in whole units, is a position; targets fall between them
     near = as_of(targets.withColumn("_at", F.col(target)), marks.withColumn("_at", F.col("_t")), keys, "_at", "_at", _b="below", _a="after")
-    of = lambda k, i: marks.select(*keys, F.col("_t").alias(k), F.col(i).alias(f"{k}{i}"))
+    # there is a mark for each packet, whatever the planner guesses, so they are never broadcast
+    of = lambda k, i: marks.select(*keys, F.col("_t").alias(k), F.col(i).alias(f"{k}{i}")).hint("merge")
     out = near.join(of("_b", "_j"), [*keys, "_b"], "left").join(of("_a", "_i"), [*keys, "_a"], "left")
     early = (F.col(target) - F.col("_b")) <= (F.col("_a") - F.col(target))
     best = F.when(F.col("_b").isNull(), 0).when(F.col("_a").isNull(), F.col("_b_j")).when(early, F.col("_b_j")).otherwise(F.col("_a_i"))

@@ -258,3 +258,18 @@ def test_scores_by_hand_with_negative_coefficients():
     for plane in rng.integers(0, 256, (5, size * size)).astype(float):
         corr0, corr1 = model.scores(plane[None])
         assert corr0[0] == pytest.approx(raw(plane) / raw(shown(16))) and corr1[0] == pytest.approx(raw(a * plane + b * 255) / raw(shown(16)))
+
+
+def test_second_stream_comes_in_cells_and_is_never_broadcast(spark, monkeypatch):
+    from framewise import adapters as ad
+    from framewise.registry import QUERIES
+
+    from .conftest import DATA
+
+    whole = [(r["decode_idx"], r["duration"]) for r in ad.audio(spark, DATA).collect()]
+    monkeypatch.setattr(ad, "CELL", 100)
+    tone = ad.audio(spark, DATA)
+    assert sorted((r["decode_idx"], r["duration"]) for r in tone.collect()) == sorted(whole) == [(i, 960 if i else 3852) for i in range(len(whole))]
+    for name in ("a13_av_segments", "w5_audio_segments"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "LeftOuter" in x]
