@@ -76,8 +76,10 @@ def frame_time(frame: Column | str, fps: Column | float) -> Column:
 
 
 def split_time(x: Column | str, width: int = 12) -> tuple[Column, Column]:
-    """The leading time of fixed width, and what follows it; shorter text is all time."""
-    return F.substring(_c(x), 1, width), F.substring(_c(x), width + 1, 1 << 30)
+    """The leading time and what follows it. A time has a fixed width, and more where its hours have over two digits; shorter text is all time."""
+    long = F.length(F.regexp_extract(_c(x), r"^[0-9]{3,}:[0-9]{2}:[0-9]{2},[0-9]{3}", 0))
+    width = F.when(long > 0, long).otherwise(width)
+    return F.substring(_c(x), F.lit(1), width), F.substring(_c(x), width + 1, F.lit(1 << 30))
 
 
 def header_value(header: Column | str, key: str) -> Column:

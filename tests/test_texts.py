@@ -143,3 +143,13 @@ def test_index_arithmetic(spark):
     for bad in (b - a, (a + 1).column):
         with pytest.raises(Exception, match="index"):
             rows.select(bad).collect()
+
+
+def test_split_time_with_long_hours(spark):
+    from pyspark.sql import functions as F
+
+    from framewise.functions.text import split_time
+
+    texts = ["00:00:01,000 X1:1", "100:00:05,659 X1:5", "12345:00:05,659", "short", "99:59:59,9999"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", *split_time(F.col("t"))).orderBy("i").collect()
+    assert [(r[1], r[2]) for r in got] == [("00:00:01,000", " X1:1"), ("100:00:05,659", " X1:5"), ("12345:00:05,659", ""), ("short", ""), ("99:59:59,999", "9")]
