@@ -10,9 +10,18 @@ from ..operators.remap import map_events, to_ticks, to_units
 from ..sources.texts import BOM, split_lines, srt_blocks
 
 
+#: Lines that one task joins.
+STRETCH = 16_384
+
+
 def _joined(rows: DataFrame) -> DataFrame:
-    lines = rows.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("line", F.concat("text", "terminator").alias("t")))).alias("ls"), F.bool_or("bom").alias("bom"))
-    return lines.select("media_id", F.concat(F.when(F.col("bom"), BOM).otherwise(""), F.expr("array_join(transform(ls, l -> l.t), '')")).alias("text"))
+    """Files of their lines: stretches of lines first, so that the row of a file gathers few long texts."""
+    lines = rows.select("media_id", F.floor(F.col("line") / STRETCH).alias("stretch"), "line", "bom", F.concat("text", "terminator").alias("t"))
+    joined = lines.groupBy("media_id", "stretch").agg(F.expr("listagg(t, '') within group (order by line)").alias("t"), F.bool_or("bom").alias("bom"))
+    # the byte order mark goes before the first stretch that has lines left
+    marked = joined.groupBy("media_id").agg(F.bool_or("bom").alias("_bom"), F.min("stretch").alias("stretch")).filter("_bom")
+    joined = joined.join(marked, ["media_id", "stretch"], "left").withColumn("t", F.when(F.col("_bom"), F.concat(F.lit(BOM), "t")).otherwise(F.col("t")))
+    return joined.groupBy("media_id").agg(F.expr("listagg(t, '') within group (order by stretch)").alias("text"))
 
 
 def remap_ass(files: DataFrame, segments: DataFrame, timescale: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,7 +70,8 @@ def remap_srt(files: DataFrame, segments: DataFrame, timescale: int) -> tuple[Da
     asked = head.filter("ms is not null and me is not null").select("media_id", F.col("block").alias("event_id"), to_ticks("ms", timescale, 1000).alias("start"), to_ticks("me", timescale, 1000).alias("end"))
     found = map_events(asked, segments)
     place = found.select("media_id", F.col("event_id").alias("block"), "fate", to_units("out_start", timescale, 1000).alias("os"), to_units("out_end", timescale, 1000, up=True).alias("oe"))
-    rows = lines.join(place, ["media_id", "block"], "left").join(head.select("media_id", "block", F.col("line").alias("at"), "rest", "timing"), ["media_id", "block"], "left")
+    # a row for each block, whatever the planner guesses
+    rows = lines.join(place.hint("merge"), ["media_id", "block"], "left").join(head.select("media_id", "block", F.col("line").alias("at"), "rest", "timing").hint("merge"), ["media_id", "block"], "left")
     rows = rows.filter("fate is null or fate <> 'Discarded' or length(trim(text)) = 0")
     timed = F.concat(format_srt_time("os"), F.lit(" --> "), format_srt_time("oe"), "rest")
     text = F.when(F.col("fate").isin("Shifted", "Clipped") & (F.col("line") == F.col("at")), timed).otherwise(F.col("text"))

@@ -864,11 +864,21 @@ def _file(rows: DataFrame, head: str, *lines) -> DataFrame:
     return held.select("media_id", F.concat(F.lit(head), F.expr("array_join(transform(ts, t -> t.t), '')")).alias("text"))
 
 
+#: Events of a piece of a file.
+PIECE = 1024
+
+
+def _pieces(rows: DataFrame, *lines) -> DataFrame:
+    """The same in pieces of bounded length: ``media_id, piece, text``."""
+    held = rows.groupBy("media_id", F.floor(F.col("event_id") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("event_id", F.concat(*lines).alias("t")))).alias("ts"))
+    return held.select("media_id", "piece", F.expr("array_join(transform(ts, t -> t.t), '')").alias("text"))
+
+
 def _srt(spark, d) -> DataFrame:
     start = F.col("event_id") * 33
     rows = ad.table(spark, d, "events").select(ad.media(), "event_id")
     times = tx.format_srt_time(start), F.lit(" --> "), tx.format_srt_time(start + 500 + F.col("event_id") % 700)
-    return _file(rows, "", F.col("event_id").cast("string"), F.lit("\n"), *times, F.lit(" X1:1\nline "), F.col("event_id").cast("string"), F.lit("\n\n"))
+    return _pieces(rows, F.col("event_id").cast("string"), F.lit("\n"), *times, F.lit(" X1:1\nline "), F.col("event_id").cast("string"), F.lit("\n\n"))
 
 
 def _events_sql(unit: int, start: str, end: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.errors import ParseError
+from ..operators.sequence import CHUNK, running
 
 BOM = "﻿"
 MAX_FRAME = (1 << 32) - 1
@@ -169,18 +170,36 @@ def has_bom(text: Column | str) -> Column:
 
 
 def split_lines(files: DataFrame) -> DataFrame:
-    """``media_id, bom, line, text, terminator``: every line with the terminator it had, so that they join to the file again."""
-    body = F.when(has_bom("text"), F.substring("text", 2, (1 << 31) - 1)).otherwise(F.col("text"))
+    """``media_id, bom, line, text, terminator``: every line with the terminator it had, so that they join to the file again.
+
+    A large file may come in pieces, rows with a column ``piece`` that gives their order; each but the last ends with a line feed.
+    """
+    first, base = F.lit(True), F.lit(0)
+    if "piece" in files.columns:
+        feeds = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+        before = running(files.select("media_id", "piece", feeds.cast("long").alias("_n")), ["media_id"], "piece", _base=("_n", False))
+        starts = files.groupBy("media_id").agg(F.min("piece").alias("_first"))
+        files = files.join(before.drop("_n"), ["media_id", "piece"]).join(starts, "media_id")
+        first, base = F.col("piece") == F.col("_first"), F.col("_base")
+    bom = has_bom("text") & first
+    body = F.when(bom, F.substring("text", 2, (1 << 31) - 1)).otherwise(F.col("text"))
     found = F.regexp_extract_all(body, F.lit("[^\\n]*\\n|[^\\n]+$"), F.lit(0))
-    rows = files.select("media_id", has_bom("text").alias("bom"), F.posexplode(found).alias("line", "whole"))
-    end = F.regexp_extract("whole", "(\r?\n)$", 1)
-    return rows.select("media_id", "bom", "line", F.expr("substring(whole, 1, length(whole) - length(regexp_extract(whole, '(\\r?\\n)$', 1)))").alias("text"), end.alias("terminator"))
+    rows = files.select("media_id", bom.alias("bom"), base.alias("_base"), F.posexplode(found).alias("line", "whole"))
+    rows = rows.withColumn("line", F.col("_base") + F.col("line")).drop("_base")
+    end = F.when(F.endswith("whole", F.lit("\r\n")), "\r\n").when(F.endswith("whole", F.lit("\n")), "\n").otherwise("")
+    return rows.select("media_id", "bom", "line", F.substring("whole", F.lit(1), F.length("whole") - F.length(end)).alias("text"), end.alias("terminator"))
 
 
 def srt_blocks(lines: DataFrame) -> DataFrame:
     """``lines`` with ``block``: lines up to and with the blank lines after them."""
-    w = Window.partitionBy("media_id").orderBy("line")
     blank = F.length(F.trim("text")) == 0
-    rows = lines.withColumn("_after_blank", F.lag(blank).over(w))
-    opens = F.when(~blank & F.coalesce("_after_blank", F.lit(False)), 1).otherwise(0)
-    return rows.withColumn("_opens", opens).withColumn("block", F.sum("_opens").over(w)).drop("_after_blank", "_opens")
+    # windows inside chunks of lines, and one over a row for each chunk
+    inside, chunks = Window.partitionBy("media_id", "_chunk").orderBy("line"), Window.partitionBy("media_id").orderBy("_chunk")
+    rows = lines.withColumns({"_blank": blank, "_chunk": F.floor(F.col("line") / CHUNK)})
+    rows = rows.withColumn("_opens", F.when(~F.col("_blank") & F.coalesce(F.lag("_blank").over(inside), F.lit(False)), 1).otherwise(0).cast("long"))
+    rows = rows.withColumn("_block", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("media_id", "_chunk").agg(F.sum("_opens").alias("_n"), F.min_by("_blank", "line").alias("_first"), F.max_by("_blank", "line").alias("_last"))
+    ends = ends.withColumn("_edge", F.when(~F.col("_first") & F.coalesce(F.lag("_last").over(chunks), F.lit(False)), 1).otherwise(0).cast("long"))
+    before = F.coalesce(F.sum(F.col("_n") + F.col("_edge")).over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("media_id", "_chunk", (before + F.col("_edge")).alias("_base"))
+    return rows.join(ends, ["media_id", "_chunk"]).select(*lines.columns, (F.col("_base") + F.col("_block")).alias("block"))

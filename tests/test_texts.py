@@ -153,3 +153,21 @@ def test_split_time_with_long_hours(spark):
     texts = ["00:00:01,000 X1:1", "100:00:05,659 X1:5", "12345:00:05,659", "short", "99:59:59,9999"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", *split_time(F.col("t"))).orderBy("i").collect()
     assert [(r[1], r[2]) for r in got] == [("00:00:01,000", " X1:1"), ("100:00:05,659", " X1:5"), ("12345:00:05,659", ""), ("short", ""), ("99:59:59,999", "9")]
+
+
+def test_srt_in_pieces(spark, monkeypatch):
+    from framewise.plans import subtitles
+    from framewise.sources import texts
+
+    blocks = [f"{i}\n00:00:{i:02d},000 --> 00:00:{i:02d},500\nl\n\n" for i in range(40)]
+    whole = spark.createDataFrame([("m", "﻿" + "".join(blocks) + "end")], "media_id string, text string")
+    parts = ["﻿" + blocks[0] + "1\n", "00:00:01,000 --> 00:00:01,500\nl\n\n", *blocks[2:39], blocks[39] + "end"]
+    pieces = spark.createDataFrame([("m", k, t) for k, t in enumerate(parts)], "media_id string, piece long, text string")
+    monkeypatch.setattr(texts, "CHUNK", 7)
+    monkeypatch.setattr(subtitles, "STRETCH", 5)
+    lines = [sorted(map(tuple, texts.srt_blocks(texts.split_lines(f)).select("line", "bom", "text", "terminator", "block").collect())) for f in (whole, pieces)]
+    assert [x[:1] + x[2:] for x in lines[0]] == [x[:1] + x[2:] for x in lines[1]]
+    assert [x[4] for x in lines[0]] == [i // 4 for i in range(161)]
+    segs = spark.createDataFrame([("m", 0, 0, 30000 * 60, 0)], "media_id string, range_id long, source_start_dts long, duration long, output_start long")
+    out = [subtitles.remap_srt(f, segs, 30000)[0].collect()[0]["text"] for f in (whole, pieces)]
+    assert out[0] == out[1] == "﻿" + "".join(blocks) + "end"
