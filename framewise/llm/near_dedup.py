@@ -8,7 +8,8 @@ partitioning, so a region of any size is spread over tasks, and pairs that strad
 These candidates are confirmed on the documents' full sets, in rounds: the first two take, for every document, the pair that shares most of those
 that still join two components; the third takes every pair that still does. What then is left are regions with more documents than predecessors
 reach and more than one component: there every pair of documents of different components is compared on full sets, block against block, so a
-region of any size is spread over tasks, and each task returns only links that join. So no candidate that could change a component is left out.
+region of any size is spread over tasks, and each task returns only links that join. Regions of different orders that hold much the same documents are
+compared as one, and blocks whose sets' sizes rule a link out don't meet. So no candidate that could change a component is left out.
 Components are found by repeated contraction of the links to the smallest neighbour; no task and no driver sees all links.
 
 Defined cases: null text, and text without words, has the empty set (0 shingles) and is linked with nothing; a text of fewer words than a
@@ -19,6 +20,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -247,30 +249,46 @@ def joining(ids: list[int], comps: list[int], blocks: list[int], sets: list[np.n
     return out
 
 
-def crowded(reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int, reach: int = REACH) -> DataFrame:
-    """Links ``a, b`` that join components (``labels``: ``node, comp``) inside the regions that predecessors don't cover; ``docs`` has ``doc_id, text``."""
+def meetings(reps: DataFrame, labels: DataFrame, percent: int, broadcast_ids: int, reach: int = REACH) -> DataFrame:
+    """``region, i, j, block, doc_id, comp``: the documents of blocks ``i`` and ``j`` that meet, inside the regions that predecessors don't cover;
+    ``reps`` has ``doc_id, n_shingles, sig``, ``labels`` has ``node, comp``."""
     size, head = 4 * DEPTH, 4 * LEAST
-    own = reps.select("doc_id", "sig").join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
-    own = own.select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    rows = saved(own.select(F.expr(f"xxhash64(tree, substring(sig, 1 + {size} * tree, {head}))").alias("region"), "doc_id", "comp"), "regions")
+    own = reps.select("doc_id", "n_shingles", "sig").join(labels.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
+    own = own.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("comp"), "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = saved(own.select(F.expr(f"xxhash64(tree, substring(sig, 1 + {size} * tree, {head}))").alias("region"), "doc_id", "n_shingles", "comp"), "regions")
     # regions of the same documents are one: two 64-bit sums without carry tell their members apart
-    hold = [F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (0, 1))]
+    hold = [F.count(F.lit(1)).alias("n"), *(F.expr(f"bit_xor(xxhash64(doc_id, {k}))").alias(f"x{k}") for k in (0, 1)), F.expr("min(xxhash64(doc_id, 3))").alias("first")]
     open_ = rows.groupBy("region").agg(*hold, F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("n") > reach + 1) & (F.col("low") < F.col("high")))
-    open_ = saved(open_.groupBy("n", "x0", "x1").agg(F.min("region").alias("region")).select("region"), "open")
+    open_ = saved(open_.groupBy("n", "x0", "x1", "first").agg(F.min("region").alias("region")).select("region", "first", "n"), "open")
     small = (lambda t: F.broadcast(t)) if open_.count() <= broadcast_ids else (lambda t: t)
     members = saved(rows.join(small(open_), "region"), "members")
+    # orders put much the same documents into a region; such regions have their first document in common and are one where that makes fewer pairs
+    one = members.groupBy("first").agg(F.count_distinct("doc_id").alias("u")).join(open_.groupBy("first").agg(F.sum(F.col("n") * F.col("n")).alias("pairs")), "first")
+    one = saved(one.filter("u * u < pairs").select("first", F.lit(True).alias("one")), "merged")
+    members = members.join(small(one), "first", "left").select(F.expr("if(one, first, region)").alias("region"), "doc_id", "n_shingles", "comp").distinct()
+    members = saved(members, "members")
+    # sets whose sizes differ too much can't be alike: regions of several blocks are dealt by size, and blocks meet where sizes allow a link
+    wide = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("region", F.lit(True).alias("wide"))
+    cell = F.when(F.col("wide"), F.floor(F.log("n_shingles") / math.log(100 / min(percent, 99)))).otherwise(0).alias("cell")
+    members = saved(members.join(small(wide), "region", "left").select("region", "doc_id", "n_shingles", "comp", cell), "celled")
     # a large component of a region has blocks of its own, which needn't meet each other; the others are dealt out by component
-    sizes = saved(members.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
-    large = sizes.filter(F.col("m") > BLOCK).select("region", "comp", F.ceil(F.col("m") / BLOCK).alias("own"))
-    others = sizes.filter(F.col("m") <= BLOCK).groupBy("region").agg(F.ceil(F.sum("m") / BLOCK).alias("blocks"))
-    dealt = members.join(small(large), ["region", "comp"], "left").join(small(others), "region", "left")
-    block = "if(own IS NULL, pmod(xxhash64(comp, 2), blocks), xxhash64(comp, pmod(xxhash64(doc_id, 2), own)))"
-    dealt = saved(dealt.select("region", "doc_id", "comp", F.expr(block).alias("block"), F.expr("if(own IS NULL, NULL, comp)").alias("alone")), "dealt")
-    blocks = saved(dealt.select("region", "block", "alone").distinct(), "blocks")
-    left, right = (blocks.select("region", F.col("block").alias(k), F.col("alone").alias(f"alone_{k}")) for k in "ij")
-    met = left.join(right, "region").filter("i <= j AND NOT coalesce(alone_i = alone_j, false)").select("region", "i", "j")
+    sizes = saved(members.groupBy("region", "cell", "comp").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    large = sizes.filter(F.col("m") > BLOCK).select("region", "cell", "comp", F.ceil(F.col("m") / BLOCK).alias("own"))
+    others = sizes.filter(F.col("m") <= BLOCK).groupBy("region", "cell").agg(F.ceil(F.sum("m") / BLOCK).alias("blocks"))
+    dealt = members.join(small(large), ["region", "cell", "comp"], "left").join(small(others), ["region", "cell"], "left")
+    block = "if(own IS NULL, xxhash64(cell, pmod(xxhash64(comp, 2), blocks)), xxhash64(comp, cell, pmod(xxhash64(doc_id, 2), own)))"
+    dealt = saved(dealt.select("region", "doc_id", "n_shingles", "comp", F.expr(block).alias("block"), F.expr("if(own IS NULL, NULL, comp)").alias("alone")), "dealt")
+    blocks = saved(dealt.groupBy("region", "block", "alone").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high")), "blocks")
+    left, right = (blocks.select("region", F.col("block").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("alone", "low", "high"))) for k in "ij")
+    met = left.join(right, "region").filter("i <= j AND NOT coalesce(alone_i = alone_j, false)")
+    met = met.filter(f"100 * high_i >= {percent} * low_j AND 100 * high_j >= {percent} * low_i").select("region", "i", "j")
     sides = met.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    met = dealt.join(small(sides), ["region", "block"]).select("region", "i", "j", "block", "doc_id", "comp")
+    return dealt.join(small(sides), ["region", "block"]).select("region", "i", "j", "block", "doc_id", "comp")
+
+
+def crowded(reps: DataFrame, labels: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int, reach: int = REACH) -> DataFrame:
+    """Links ``a, b`` that join components (``labels``: ``node, comp``) inside the regions that predecessors don't cover; ``docs`` has ``doc_id, text``."""
+    met = meetings(reps, labels, percent, broadcast_ids, reach)
     rows = met.join(docs.select("doc_id", "text"), "doc_id").select("region", "i", "j", "block", "doc_id", "comp", "text")
 
     def compared(group: pa.Table) -> pa.Table:
@@ -288,7 +306,7 @@ def labelled(rows: DataFrame, width: int, percent: int, broadcast_ids: int = 2_0
     """``doc_id, n_shingles, component``; ``rows`` has ``doc_id, text``, and no id twice."""
     sigs = saved(signatures(rows, width), "signatures")
     sets = sigs.filter("set_id is not null")
-    reps = saved(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "sig")).alias("rep")).select("set_id", "rep.*"), "sets")
+    reps = saved(sets.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("rep")).select("set_id", "rep.*"), "sets")
     pairs = saved(neighbours(reps), "pairs")
     # only texts of candidates are needed again; their ids are broadcast where they are few enough
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")

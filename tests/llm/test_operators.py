@@ -399,6 +399,29 @@ def test_near_dedup_of_a_crowded_region(spark, monkeypatch):
         assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
 
 
+def test_meetings_of_regions_that_share_most_documents(spark, monkeypatch):
+    """Twenty orders' regions of much the same documents are compared once, and all their pairs whose sizes allow a link meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, (300, 20, 6)).astype(">u4")
+    inside = rng.random((300, 20)) < 0.95
+    sig[inside, :3] = 7
+    sizes = rng.integers(80, 400, 300).tolist()
+    rows = [(i, sizes[i], sig[i].tobytes()) for i in range(300)]
+    reps = spark.createDataFrame(rows, "doc_id long, n_shingles long, sig binary")
+    comps = [0 if i < 120 else i for i in range(300)]
+    labels = spark.createDataFrame(list(enumerate(comps)), "node long, comp long")
+    for few in (0, 1000):
+        met = near_dedup.meetings(reps, labels, 80, few).collect()
+        assert len(met) < 6000  # 20 regions by themselves: some 285 documents each, in eight blocks or more
+        groups = collections.defaultdict(list)
+        for r in met:
+            groups[r["region"], r["i"], r["j"]].append((r["block"], r["doc_id"]))
+        pairs = {(a, b) for (_, i, j), held in groups.items() for x, a in held for y, b in held if a < b and (i == j or x != y)}
+        want = {(a, b) for a in range(300) for b in range(a + 1, 300) if comps[a] != comps[b] and 10 * min(sizes[a], sizes[b]) >= 8 * max(sizes[a], sizes[b]) and (inside[a] & inside[b]).any()}
+        assert want <= pairs
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(9)
     ids = list(range(200))
