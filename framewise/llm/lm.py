@@ -1,4 +1,7 @@
-"""Language-model scores from a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
+"""Language-model scores from a hierarchical Pitman-Yor model whose seating is sampled by Gibbs, in two forms.
+
+``score_by_word_contexts``: every word is a context with a restaurant of its own, over all words, and all share one parent over a uniform distribution of
+the known words and "unknown" (see ``word_contexts``). ``score_documents``, bounded in its contexts, is as follows.
 
 Outcomes are the ``FREQUENT`` most frequent words (the end of a text always among them) and "another word". Each outcome, and the start of a text
 with the end's, is a context and has a restaurant: its customers are the tokens that follow it. All context restaurants share one parent, whose customers are
@@ -36,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, dropped, in_arrow, saved
+from .common import NUMBERED, Shared, dropped, identified, in_arrow, per_process, saved
 
 FREQUENT, BURN, SAMPLES = 255, 2, 3
 #: Discount and strength: of contexts' restaurants, of their parent, and of the other words' restaurant.
@@ -301,6 +304,137 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     )
 
 
+def pairs_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, u, w, k``: how often a text (``doc_id, text``) has the word ``w`` after ``u``, its first word after the end; 64-bit hashes name the words."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = per_process(("words",), dict)
+        for batch in batches:
+            ids, us, ws, ks = [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = tokens(text)
+                if len(kept) >= HELD:
+                    kept.clear()
+                for word in words:
+                    if word not in kept:
+                        kept[word] = xxhash.xxh3_64_intdigest(word)
+                w = np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+                u = np.concatenate([w[-1:], w[:-1]])
+                order = np.lexsort((w, u))
+                u, w = u[order], w[order]
+                first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+                ids.append(np.full(len(first), doc, np.int64))
+                us.append(u[first])
+                ws.append(w[first])
+                ks.append(np.diff(first, append=len(w)))
+            if ids:
+                columns = [np.concatenate(c) for c in (ids, us, ws, ks)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["doc_id", "u", "w", "k"])
+
+    return in_arrow(docs.select("doc_id", "text"), found, "doc_id long, u long, w long, k long")
+
+
+def seated_pairs(many: DataFrame, rooms: DataFrame, dishes: DataFrame, totals: tuple[int, int, int], number: int) -> DataFrame:
+    """``many`` (``u, w, n, t, ts``) with tables drawn anew, given those of the last sweep: ``rooms`` of contexts, ``dishes`` of the parent."""
+    words, held, up = totals
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (d, s), (pd, ps) = CONTEXT, PARENT
+        for batch in batches:
+            u, w, n, t, room, m, ups = (batch.column(k).to_numpy() for k in range(7))
+            guests = m - t
+            base = (ps + pd * (up - ups + np.minimum(ups, guests))) / (words + 1)
+            parent = (np.maximum(guests - pd * np.minimum(ups, guests), 0) + base) / (ps + held - t)
+            names = u.view(np.uint64) * np.uint64(0xA0761D6478BD642F) + w.view(np.uint64)
+            fresh = seat(names, n, room - t, parent, d, s, number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(fresh)], names=["u", "w", "n", "t"])
+
+    rows = many.join(rooms.select("u", "room"), "u").join(dishes.select("w", "m", "up"), "w")
+    return in_arrow(rows.select("u", "w", "n", "t", "room", "m", "up"), drawn, "u long, w long, n long, t long")
+
+
+def seated_dishes(dishes: DataFrame, words: int, up: int, number: int) -> DataFrame:
+    """The parent's ``dishes`` (``w, m, up``) with tables drawn anew."""
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, m, mine = (batch.column(k).to_numpy() for k in range(3))
+            fresh = seat(w.view(np.uint64), m, up - np.minimum(mine, m), np.full(len(m), 1 / (words + 1)), *PARENT, number)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fresh)], names=["w", "m", "up"])
+
+    return in_arrow(dishes.select("w", "m", "up"), drawn, "w long, m long, up long")
+
+
+def word_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
+    """The model in which every word of ``rows`` (``doc_id, text``) is a context with a restaurant of its own over all words: of the pairs seen
+    ``u, w, lp`` (log10 of their mean probability), of contexts ``u, g0, g1 ...`` (what they leave to the parent, by sample), of words
+    ``w, p0, p1 ...`` (the parent's probability), and the parent's probability of an unknown word. A block of one customer has one table, so only
+    the others are drawn, all given the last sweep's tables less their own."""
+    pairs = saved(pairs_of(rows).groupBy("u", "w").agg(F.sum("k").alias("n")), "pairs")
+    single, (d, s), (pd, ps) = F.sum(F.expr("if(n = 1, 1, 0)")).alias("once"), CONTEXT, PARENT
+    contexts = saved(pairs.groupBy("u").agg(F.sum("n").alias("n"), single), "contexts")
+    once = saved(pairs.groupBy("w").agg(single), "once")
+    words = once.count()
+    many = saved(pairs.filter("n > 1").withColumn("t", F.lit(1).cast("long")), "many")
+    left = lambda table, key: table.join(many.groupBy(key).agg(F.sum("t").alias("t")), key, "left").withColumn("all", F.expr("once + coalesce(t, 0)"))
+    rooms = saved(left(contexts, "u").select("u", F.col("all").alias("room")), "rooms")
+    dishes = saved(left(once, "w").select("w", F.col("all").alias("m"), F.lit(1).cast("long").alias("up")), "dishes")
+    totals = lambda: dishes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("up"), F.lit(0)).alias("up")).first()
+    held, samples = totals(), []
+    for number in range(BURN + SAMPLES):
+        old = many, rooms, dishes
+        many = saved(seated_pairs(many, rooms, dishes, (words, held["m"], held["up"]), number), "many")
+        rooms = saved(left(contexts, "u").select("u", F.col("all").alias("room")), "rooms")
+        fresh = left(once, "w").join(dishes.select("w", "up"), "w").select("w", F.col("all").alias("m"), "up")
+        dishes = saved(seated_dishes(fresh, words, held["up"], number), "dishes")
+        held = totals()
+        if number <= BURN:
+            dropped(*old)
+        if number >= BURN:
+            samples.append((many, rooms, dishes, held))
+    g, p, unknown, tables = contexts.select("u", "n"), once.select("w"), [], None
+    for k, (many, rooms, dishes, held) in enumerate(samples):
+        below = (ps + pd * held["up"]) / (words + 1)
+        unknown.append(below / (ps + held["m"]))
+        g = g.join(rooms, "u").withColumn(f"g{k}", F.expr(f"({s}D + {d}D * room) / ({s}D + n)")).drop("room")
+        p = p.join(dishes, "w").withColumn(f"p{k}", (F.col("m") - pd * F.col("up") + F.lit(below)) / F.lit(ps + held["m"])).drop("m", "up")
+        these = many.select("u", "w", "n", F.col("t").alias(f"t{k}"))
+        tables = these if tables is None else tables.join(these.drop("n"), ["u", "w"])
+    g, p = saved(g.withColumnRenamed("n", "customers"), "g"), saved(p, "p")
+    ones = pairs.filter("n = 1").select("u", "w", "n", *(F.lit(1).cast("long").alias(f"t{k}") for k in range(SAMPLES)))
+    mean = " + ".join(f"(n - {d}D * t{k}) / ({s}D + customers) + g{k} * p{k}" for k in range(SAMPLES))
+    known = tables.unionByName(ones).join(g, "u").join(p, "w").select("u", "w", F.expr(f"log10(({mean}) / {SAMPLES})").alias("lp"))
+    known = saved(known, "known")
+    dropped(pairs, contexts, once, *(t for sample in samples for t in sample[:3]))
+    return known, g.drop("customers"), p, unknown
+
+
+def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``score_documents``, but every word is a context of its own, and every word an outcome in each."""
+    rows, shared = identified(docs, id_col, text_col)
+    if shared is None:
+        rows = rows.withColumn("own_id", F.col("doc_id"))
+    else:
+        own = shared.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("shared_id"))
+        rows = rows.join(own, "doc_id", "left").withColumn("own_id", F.when(F.col("doc_id") < NUMBERED, F.col("doc_id")).otherwise(F.col("shared_id")))
+    rows = rows.withColumn("held_out", held_out("own_id"))
+    train = rows.filter("NOT held_out")
+    counts = saved(word_counts(train), "counts")
+    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    model = Model(sizes["n"], sizes["v"], {}, np.zeros((1, 1)), Others(sizes["n"], sizes["v"]))
+    base = F.log10((F.col("n") + 0.5) / F.lit(sizes["n"] + 0.5 * (sizes["v"] + 1)))
+    out = score(rows, model, counts.select("word", "n", base.alias("base"), F.lit(0.0).alias("score"))).drop("score")
+    known, g, p, unknown = word_contexts(train)
+    # a training text's pairs are all known
+    scored = pairs_of(train).join(known, ["u", "w"]).groupBy("doc_id").agg(F.sum(F.expr("k * lp")).alias("score"))
+    new = pairs_of(rows.filter("held_out")).join(known, ["u", "w"], "left").join(g, "u", "left").join(p, "w", "left")
+    mean = " + ".join(f"coalesce(g{k}, 1D) * coalesce(p{k}, {unknown[k]!r}D)" for k in range(SAMPLES))
+    scored = scored.unionByName(new.groupBy("doc_id").agg(F.sum(F.expr(f"k * coalesce(lp, log10(({mean}) / {SAMPLES}))")).alias("score")))
+    ids = rows.select("doc_id", "own_id", "held_out")
+    out = out.join(ids, "doc_id").join(saved(scored, "scores"), "doc_id")
+    return out.select(F.col("own_id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 1, F.lit(False))
 

@@ -29,7 +29,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_by_word_contexts(table(spark, sf_dir, "documents"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

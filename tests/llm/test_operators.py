@@ -224,6 +224,57 @@ def test_lm_of_rows_that_share_an_id(spark):
     assert all(r["score"] < 0 and r["held_out"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
 
 
+def test_lm_gives_every_word_a_context(spark, docs, empty):
+    """All pairs of words count: the same score from dictionaries, one for each context; held-out words and contexts too."""
+    train, count = [(i, x) for i, x in texts() if zlib.crc32(str(i).encode()) % 5 != 1], collections.Counter()
+    name = lambda w: lm.xxhash.xxh3_64_intdigest(w)
+    for _, x in train:
+        ws = lm.tokens(x)
+        count.update(zip([lm.END, *ws], ws, strict=False))
+    at = sorted(count)
+    total = lambda values, side: {w: sum(v for k, v in zip(at, values, strict=True) if k[side] == w) for w in {k[side] for k in at}}
+    (d, s), (pd, ps), n = lm.CONTEXT, lm.PARENT, np.array([count[k] for k in at])
+    names = np.array([(name(u) * 0xA0761D6478BD642F + name(w)) % 2**64 for u, w in at], np.uint64)
+    t = np.ones(len(at), np.int64)
+    customers, up = total(n, 0), {w: 1 for _, w in at}
+    v, samples = len(up), []
+    for number in range(lm.BURN + lm.SAMPLES):
+        rooms, m, ups = total(t, 0), total(t, 1), sum(up.values())
+        guests = np.array([m[w] for _, w in at]) - t
+        own = np.array([up[w] for _, w in at])
+        kept = np.minimum(own, guests)
+        parent = (np.maximum(guests - pd * kept, 0) + (ps + pd * (ups - own + kept)) / (v + 1)) / (ps + t.sum() - t)
+        t = lm.seat(names, n, np.array([rooms[u] for u, _ in at]) - t, parent, d, s, number)
+        assert ((t >= 1) & (t <= n)).all()
+        m = total(t, 1)
+        up = {w: int(lm.seat(np.array([name(w)], np.uint64), np.array([m[w]]), np.array([ups - min(up[w], m[w])]), np.array([1 / (v + 1)]), pd, ps, number)[0]) for w in m}
+        samples.append((dict(zip(at, t.tolist(), strict=True)), total(t, 0), m, up))
+
+    def probability(u, w):
+        out = []
+        for seats, rooms, m, up in samples[-lm.SAMPLES :]:
+            low = (m.get(w, 0) - pd * up.get(w, 0) + (ps + pd * sum(up.values())) / (v + 1)) / (ps + sum(m.values()))
+            out.append((count[u, w] - d * seats.get((u, w), 0) + (s + d * rooms.get(u, 0)) * low) / (s + customers.get(u, 0)))
+        return np.mean(out)
+
+    for u in (lm.END, b"the", b"never-seen"):
+        assert sum(probability(u, w) for w in [*up, b"\0unknown"]) == pytest.approx(1, abs=1e-9)
+    capped = by_id(lm.score_documents(docs))
+    for k in (1, 9):
+        got = by_id(lm.score_by_word_contexts(docs.repartition(k)))
+        for i, x in texts():
+            ws = lm.tokens(x)
+            want = sum(math.log10(probability(u, w)) for u, w in zip([lm.END, *ws], ws, strict=False))
+            assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+            for c in ("held_out", "n_tokens", "n_known", "train_tokens"):
+                assert got[i][c] == capped[i][c]
+            assert got[i]["base_score"] == pytest.approx(capped[i]["base_score"])
+    assert lm.score_by_word_contexts(empty).count() == 0
+    rows = [(None, "a b c"), (None, "d"), (3, "a a"), (3, "zz yy xx"), (3, "a a"), (4, "q " * 1000)]
+    got = lm.score_by_word_contexts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted([("None", 4), ("None", 2), ("3", 3), ("3", 4), ("3", 3), ("4", 1001)])
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
