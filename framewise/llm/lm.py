@@ -27,6 +27,7 @@ scored whole; an empty table gives an empty result; extra columns are ignored, w
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 from collections import Counter
@@ -36,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NUMBERED, Shared, dropped, identified, in_arrow, per_process, saved
@@ -47,10 +48,13 @@ CONTEXT, PARENT, WORDS = (0.6, 100.0), (0.2, 1.0), (0.6, 10.0)
 #: Customers of a block that are seated one by one.
 SINGLE = 32
 SHARED, SHORT = 200_000, 64
+#: Pairs of words that every task gets at most.
+PAIRS = 500_000
 HELD = 500_000
 END = b"\n"  # holds white space, so it is never a word
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -304,13 +308,17 @@ def score(docs: DataFrame, model: Model, words: DataFrame, id_col: str = "doc_id
     )
 
 
-def pairs_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, u, w, k``: how often a text (``doc_id, text``) has the word ``w`` after ``u``, its first word after the end; 64-bit hashes name the words."""
+_PAIR = np.uint64(0xA0761D6478BD642F)
+
+
+def pairs_of(docs: DataFrame, hot: Shared | None = None) -> DataFrame:
+    """``doc_id, u, w, k, part``: how often a text (``doc_id, text``) has the word ``w`` after ``u``, its first word after the end; 64-bit hashes name the
+    words. Of pairs in ``hot`` (sorted names, ``u``, ``w``, ``lp``) each text has one row with no occurrences and their sum as ``part``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = per_process(("words",), dict)
         for batch in batches:
-            ids, us, ws, ks = [], [], [], []
+            columns = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
                 if len(kept) >= HELD:
@@ -323,94 +331,130 @@ def pairs_of(docs: DataFrame) -> DataFrame:
                 order = np.lexsort((w, u))
                 u, w = u[order], w[order]
                 first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-                ids.append(np.full(len(first), doc, np.int64))
-                us.append(u[first])
-                ws.append(w[first])
-                ks.append(np.diff(first, append=len(w)))
-            if ids:
-                columns = [np.concatenate(c) for c in (ids, us, ws, ks)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["doc_id", "u", "w", "k"])
-
-    return in_arrow(docs.select("doc_id", "text"), found, "doc_id long, u long, w long, k long")
+                for column, values in zip(columns, (np.full(len(first), doc, np.int64), u[first], w[first], np.diff(first, append=len(w))), strict=True):
+                    column.append(values)
+            if not columns[0]:
+                continue
+            size = np.fromiter(map(len, columns[0]), np.int64, len(columns[0]))
+            doc, u, w, k = map(np.concatenate, columns)
+            part = np.zeros(len(doc))
+            if hot is not None and len(hot.value[0]):
+                names, us, ws, lp = hot.value
+                at = np.minimum(np.searchsorted(names, u * _PAIR + w), len(names) - 1)
+                met = (us[at] == u) & (ws[at] == w)
+                sums = np.bincount(np.repeat(np.arange(len(size)), size)[met], k[met] * lp[at[met]], len(size))
+                ids = batch.column(0).to_numpy()
+                own = ids.view(np.uint64) * _MIX
+                doc, u, w, k = (np.concatenate([x[~met], y]) for x, y in ((doc, ids), (u, own), (w, own), (k, np.zeros(len(ids), np.int64))))
+                part = np.concatenate([np.zeros(len(doc) - len(ids)), sums])
+            for i in range(0, len(doc), 100_000):
+                arrays = [*(pa.array(c[i : i + 100_000].view(np.int64)) for c in (doc, u, w, k)), pa.array(part[i : i + 100_000])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "u", "w", "k", "part"])
+
+    return in_arrow(docs.select("doc_id", "text"), found, "doc_id long, u long, w long, k long, part double")
+
+
+def hot_pairs(known: DataFrame, most: int) -> Shared:
+    """The pairs of the highest counts, as many as ``most`` allows without a tie at its end, for ``pairs_of``."""
+    sizes = known.filter("n > 1").groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.orderBy(F.desc("n")).limit(10_000).toArrow()
+    fits = sizes.column(0).to_numpy()[np.cumsum(sizes.column(1).to_numpy()) <= most]
+    rows = known.filter(F.col("n") >= (int(fits.min()) if len(fits) else 1 << 62)).select("u", "w", "lp").toArrow()
+    u, w = (rows.column(k).to_numpy().view(np.uint64) for k in range(2))
+    names = u * _PAIR + w
+    order = np.argsort(names)
+    return Shared(known.sparkSession, (names[order], u[order], w[order], rows.column(2).to_numpy()[order]))
 
 
 def seated_pairs(many: DataFrame, rooms: DataFrame, dishes: DataFrame, totals: tuple[int, int, int], number: int) -> DataFrame:
-    """``many`` (``u, w, n, t, ts``) with tables drawn anew, given those of the last sweep: ``rooms`` of contexts, ``dishes`` of the parent."""
+    """``many`` (``u, w, n, t`` and more) with tables ``t`` drawn anew, given those of the last sweep: ``rooms`` of contexts, ``dishes`` of the parent."""
     words, held, up = totals
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (d, s), (pd, ps) = CONTEXT, PARENT
         for batch in batches:
-            u, w, n, t, room, m, ups = (batch.column(k).to_numpy() for k in range(7))
+            u, w, n, t, room, m, ups = (batch.column(k).to_numpy() for k in ("u", "w", "n", "t", "room", "m", "up"))
             guests = m - t
             base = (ps + pd * (up - ups + np.minimum(ups, guests))) / (words + 1)
             parent = (np.maximum(guests - pd * np.minimum(ups, guests), 0) + base) / (ps + held - t)
-            names = u.view(np.uint64) * np.uint64(0xA0761D6478BD642F) + w.view(np.uint64)
-            fresh = seat(names, n, room - t, parent, d, s, number)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(fresh)], names=["u", "w", "n", "t"])
+            names = u.view(np.uint64) * _PAIR + w.view(np.uint64)
+            fresh = pa.array(seat(names, n, room - t, parent, d, s, number))
+            yield pa.RecordBatch.from_arrays([fresh if c == "t" else batch.column(c) for c in kept], names=kept)
 
-    rows = many.join(rooms.select("u", "room"), "u").join(dishes.select("w", "m", "up"), "w")
-    return in_arrow(rows.select("u", "w", "n", "t", "room", "m", "up"), drawn, "u long, w long, n long, t long")
+    kept = many.columns
+    rows = many.join(rooms.select("u", "room"), "u").join(dishes.select("w", "m", "up"), "w").select(*kept, "room", "m", "up")
+    return in_arrow(rows, drawn, ", ".join(f"{c} long" for c in kept))
 
 
 def seated_dishes(dishes: DataFrame, words: int, up: int, number: int) -> DataFrame:
-    """The parent's ``dishes`` (``w, m, up``) with tables drawn anew."""
+    """The parent's ``dishes`` (``w, m, up`` and more) with tables ``up`` drawn anew."""
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, m, mine = (batch.column(k).to_numpy() for k in range(3))
-            fresh = seat(w.view(np.uint64), m, up - np.minimum(mine, m), np.full(len(m), 1 / (words + 1)), *PARENT, number)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fresh)], names=["w", "m", "up"])
+            w, m, mine = (batch.column(k).to_numpy() for k in ("w", "m", "up"))
+            fresh = pa.array(seat(w.view(np.uint64), m, up - np.minimum(mine, m), np.full(len(m), 1 / (words + 1)), *PARENT, number))
+            yield pa.RecordBatch.from_arrays([fresh if c == "up" else batch.column(c) for c in kept], names=kept)
 
-    return in_arrow(dishes.select("w", "m", "up"), drawn, "w long, m long, up long")
+    kept = dishes.columns
+    return in_arrow(dishes, drawn, ", ".join(f"{c} long" for c in kept))
 
 
 def word_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
     """The model in which every word of ``rows`` (``doc_id, text``) is a context with a restaurant of its own over all words: of the pairs seen
-    ``u, w, lp`` (log10 of their mean probability), of contexts ``u, g0, g1 ...`` (what they leave to the parent, by sample), of words
+    ``u, w, n, lp`` (log10 of their mean probability), of contexts ``u, g0, g1 ...`` (what they leave to the parent, by sample), of words
     ``w, p0, p1 ...`` (the parent's probability), and the parent's probability of an unknown word. A block of one customer has one table, so only
     the others are drawn, all given the last sweep's tables less their own."""
+    spark = rows.sparkSession
     pairs = saved(pairs_of(rows).groupBy("u", "w").agg(F.sum("k").alias("n")), "pairs")
-    single, (d, s), (pd, ps) = F.sum(F.expr("if(n = 1, 1, 0)")).alias("once"), CONTEXT, PARENT
-    contexts = saved(pairs.groupBy("u").agg(F.sum("n").alias("n"), single), "contexts")
-    once = saved(pairs.groupBy("w").agg(single), "once")
-    words = once.count()
+    _forget(spark)
+    once, (d, s), (pd, ps) = F.sum(F.expr("if(n = 1, 1, 0)")).alias("once"), CONTEXT, PARENT
+    contexts = saved(pairs.groupBy("u").agg(F.sum("n").alias("n"), once), "contexts")
     many = saved(pairs.filter("n > 1").withColumn("t", F.lit(1).cast("long")), "many")
-    left = lambda table, key: table.join(many.groupBy(key).agg(F.sum("t").alias("t")), key, "left").withColumn("all", F.expr("once + coalesce(t, 0)"))
-    rooms = saved(left(contexts, "u").select("u", F.col("all").alias("room")), "rooms")
-    dishes = saved(left(once, "w").select("w", F.col("all").alias("m"), F.lit(1).cast("long").alias("up")), "dishes")
-    totals = lambda: dishes.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("up"), F.lit(0)).alias("up")).first()
-    held, samples = totals(), []
+    tables = lambda key: many.groupBy(key).agg(F.sum("t").alias("new"))
+    # contexts whose pairs all have one customer keep their tables
+    rooms = saved(contexts.join(tables("u"), "u").select("u", "once", F.expr("once + new").alias("room")), "rooms")
+    dishes = saved(pairs.groupBy("w").agg(once, F.count(F.lit(1)).alias("m")).withColumn("up", F.lit(1).cast("long")), "dishes")
+    words = dishes.count()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("m", "up")]
+    held, totals = dishes.agg(*sums).first(), []
     for number in range(BURN + SAMPLES):
-        old = many, rooms, dishes
-        many = saved(seated_pairs(many, rooms, dishes, (words, held["m"], held["up"]), number), "many")
-        rooms = saved(left(contexts, "u").select("u", F.col("all").alias("room")), "rooms")
-        fresh = left(once, "w").join(dishes.select("w", "up"), "w").select("w", F.col("all").alias("m"), "up")
-        dishes = saved(seated_dishes(fresh, words, held["up"], number), "dishes")
-        held = totals()
-        if number <= BURN:
-            dropped(*old)
-        if number >= BURN:
-            samples.append((many, rooms, dishes, held))
-    g, p, unknown, tables = contexts.select("u", "n"), once.select("w"), [], None
-    for k, (many, rooms, dishes, held) in enumerate(samples):
-        below = (ps + pd * held["up"]) / (words + 1)
-        unknown.append(below / (ps + held["m"]))
-        g = g.join(rooms, "u").withColumn(f"g{k}", F.expr(f"({s}D + {d}D * room) / ({s}D + n)")).drop("room")
-        p = p.join(dishes, "w").withColumn(f"p{k}", (F.col("m") - pd * F.col("up") + F.lit(below)) / F.lit(ps + held["m"])).drop("m", "up")
-        these = many.select("u", "w", "n", F.col("t").alias(f"t{k}"))
-        tables = these if tables is None else tables.join(these.drop("n"), ["u", "w"])
-    g, p = saved(g.withColumnRenamed("n", "customers"), "g"), saved(p, "p")
+        old, of = (many, rooms, dishes), number - BURN
+        kept = (lambda df, *columns: df.select("*", *(F.col(c).alias(f"{c}{of}") for c in columns))) if of >= 0 else (lambda df, *columns: df)  # noqa: B023
+        many = saved(kept(seated_pairs(many, rooms, dishes, (words, held["m"], held["up"]), number), "t"), "many")
+        rooms = saved(kept(rooms.join(tables("u"), "u").withColumn("room", F.expr("once + new")).drop("new"), "room"), "rooms")
+        fresh = dishes.join(tables("w"), "w", "left").withColumn("m", F.expr("once + coalesce(new, 0)")).drop("new")
+        dishes = saved(kept(seated_dishes(fresh, words, held["up"], number), "m", "up"), "dishes")
+        held = dishes.agg(*sums).first()
+        totals.append(held)
+        dropped(*old)
+        _forget(spark)
+    below = [(ps + pd * t["up"]) / (words + 1) for t in totals[BURN:]]
+    every = [ps + t["m"] for t in totals[BURN:]]
+    rooms = contexts.join(rooms.drop("once", "room"), "u", "left").select(
+        "u", F.col("n").alias("customers"), *(F.expr(f"coalesce(room{k}, once)").alias(f"room{k}") for k in range(SAMPLES))
+    )
+    rooms = saved(rooms, "rooms")
+    p = dishes.select("w", *(((F.col(f"m{k}") - pd * F.col(f"up{k}") + F.lit(below[k])) / F.lit(every[k])).alias(f"p{k}") for k in range(SAMPLES)))
+    p = saved(p, "p")
     ones = pairs.filter("n = 1").select("u", "w", "n", *(F.lit(1).cast("long").alias(f"t{k}") for k in range(SAMPLES)))
-    mean = " + ".join(f"(n - {d}D * t{k}) / ({s}D + customers) + g{k} * p{k}" for k in range(SAMPLES))
-    known = tables.unionByName(ones).join(g, "u").join(p, "w").select("u", "w", F.expr(f"log10(({mean}) / {SAMPLES})").alias("lp"))
-    known = saved(known, "known")
-    dropped(pairs, contexts, once, *(t for sample in samples for t in sample[:3]))
-    return known, g.drop("customers"), p, unknown
+    mean = " + ".join(f"n - {d}D * t{k} + ({s}D + {d}D * room{k}) * p{k}" for k in range(SAMPLES))
+    known = many.drop("t").unionByName(ones).join(rooms, "u").join(p, "w")
+    known = saved(known.select("u", "w", "n", F.expr(f"log10(({mean}) / ({SAMPLES} * ({s}D + customers)))").alias("lp")), "known")
+    dropped(pairs, contexts, many, dishes)
+    _forget(spark)
+    g = rooms.select("u", *(F.expr(f"({s}D + {d}D * room{k}) / ({s}D + customers)").alias(f"g{k}") for k in range(SAMPLES)))
+    return known, g, p, [b / e for b, e in zip(below, every, strict=True)]
+
+
+def _forget(spark: SparkSession) -> None:
+    """Have Spark delete the shuffled files of plans that are done, which it does after a collection of its driver."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``score_documents``, but every word is a context of its own, and every word an outcome in each."""
+def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = PAIRS) -> DataFrame:
+    """As ``score_documents``, but every word is a context of its own, and every word an outcome in each. ``most`` pairs at most are given to every
+    task; other pairs go through a join, to the same result."""
     rows, shared = identified(docs, id_col, text_col)
     if shared is None:
         rows = rows.withColumn("own_id", F.col("doc_id"))
@@ -425,11 +469,12 @@ def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: st
     base = F.log10((F.col("n") + 0.5) / F.lit(sizes["n"] + 0.5 * (sizes["v"] + 1)))
     out = score(rows, model, counts.select("word", "n", base.alias("base"), F.lit(0.0).alias("score"))).drop("score")
     known, g, p, unknown = word_contexts(train)
+    hot, known = hot_pairs(known, most), known.drop("n")
     # a training text's pairs are all known
-    scored = pairs_of(train).join(known, ["u", "w"]).groupBy("doc_id").agg(F.sum(F.expr("k * lp")).alias("score"))
-    new = pairs_of(rows.filter("held_out")).join(known, ["u", "w"], "left").join(g, "u", "left").join(p, "w", "left")
+    scored = pairs_of(train, hot).join(known, ["u", "w"], "left").groupBy("doc_id").agg(F.sum(F.expr("part + if(k = 0, 0, k * lp)")).alias("score"))
+    new = pairs_of(rows.filter("held_out"), hot).join(known, ["u", "w"], "left").join(g, "u", "left").join(p, "w", "left")
     mean = " + ".join(f"coalesce(g{k}, 1D) * coalesce(p{k}, {unknown[k]!r}D)" for k in range(SAMPLES))
-    scored = scored.unionByName(new.groupBy("doc_id").agg(F.sum(F.expr(f"k * coalesce(lp, log10(({mean}) / {SAMPLES}))")).alias("score")))
+    scored = scored.unionByName(new.groupBy("doc_id").agg(F.sum(F.expr(f"part + k * coalesce(lp, log10(({mean}) / {SAMPLES}))")).alias("score")))
     ids = rows.select("doc_id", "own_id", "held_out")
     out = out.join(ids, "doc_id").join(saved(scored, "scores"), "doc_id")
     return out.select(F.col("own_id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
