@@ -275,6 +275,50 @@ def test_lm_gives_every_word_a_context(spark, docs, empty):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted([("None", 4), ("None", 2), ("3", 3), ("3", 4), ("3", 3), ("4", 1001)])
 
 
+def shuffled(spark):
+    """Rows that the session's tasks have given to exchanges so far."""
+    jvm = spark._jvm
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+    return sum(x.shuffleWriteRecords() for x in jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+
+def test_lm_sends_pairs_in_few_messages(spark):
+    """Pairs of words go from place to place as arrays, not as rows."""
+    rows = [(i, " ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 5000, 500))) for i in range(40)]
+    pairs = {p for _, x in rows for ws in [lm.tokens(x)] for p in zip([lm.END, *ws], ws, strict=False)}
+    docs, before = spark.createDataFrame(rows, "doc_id long, text string"), shuffled(spark)
+    assert len(lm.score_by_word_contexts(docs).collect()) == 40
+    assert shuffled(spark) - before < len(pairs) / 10
+
+
+def test_lm_scores_by_any_chunks(spark, docs, monkeypatch):
+    """Chunks of a few texts, words with short numbers, contexts in several places, and places that all own words: the same scores."""
+    want = by_id(lm.score_by_word_contexts(docs))
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    monkeypatch.setattr(lm, "PLACES", 1)
+    monkeypatch.setattr(lm, "SHARE", 100)
+    for look, most in ((1, 100_000), (1, 0), (1 << 40, 0)):
+        monkeypatch.setattr(lm, "LOOK", look)
+        top, wide = lm.frequent_words(docs, 4, most, 0)
+        assert (len(top) > 100, len(wide) > 1) == (look == 1, most > 0)
+        got = by_id(lm.score_by_word_contexts(docs.repartition(5), most=most))
+        assert got.keys() == want.keys()
+        for i, row in want.items():
+            assert got[i].asDict() == pytest.approx(row.asDict(), rel=1e-9)
+
+
+def test_lm_tells_words_of_one_name_apart(spark, docs, monkeypatch):
+    name = lm.named
+    monkeypatch.setattr(lm, "named", lambda words, count, seed: name(words, count, seed + 1))
+    want = by_id(lm.score_by_word_contexts(docs))
+    # under the first seed, many words share a name
+    monkeypatch.setattr(lm, "named", lambda words, count, seed: name(words, count, seed) >> np.uint64(50 * (seed == 0)) << np.uint64(50 * (seed == 0)))
+    got = by_id(lm.score_by_word_contexts(docs))
+    for i, row in want.items():
+        assert got[i].asDict() == pytest.approx(row.asDict(), rel=1e-9)
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------------------------------
 
 
