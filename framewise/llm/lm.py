@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, dropped, in_arrow, ragged, saved
+from .common import Shared, dropped, in_arrow, new_path, ragged, saved
 
 FREQUENT, BURN, SAMPLES = 255, 2, 3
 #: Discount and strength: of contexts' restaurants, of their parent, and of the other words' restaurant.
@@ -394,7 +394,20 @@ def exchanged(messages: DataFrame, parts: int, step: Callable, schema: str = MES
                 found.sort(key=lambda m: m[:3])
             yield from out(step(dst, box))
 
-    return in_arrow(messages.repartitionById(parts, F.col("dst")), run, schema)
+    columns = [c.split()[0] for c in MESSAGE.split(", ")]
+    return in_arrow(messages.select(columns).repartitionById(parts, F.col("dst")), run, schema)
+
+
+def saved_by_kind(messages: DataFrame, tag: str) -> dict[int, DataFrame]:
+    """As ``saved``, with a table for each kind of messages there is."""
+    spark, path = messages.sparkSession, new_path(messages.sparkSession, tag)
+    messages.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    out, every = {}, spark.read.schema(messages.schema).parquet(path)
+    for kind in (r["kind"] for r in every.select("kind").distinct().collect()):
+        at = f"{path}/kind={kind}"
+        out[kind] = spark.read.schema(messages.drop("kind").schema).parquet(at).withColumn("kind", F.lit(kind))
+        out[kind].saved_path = at
+    return out
 
 
 def passed(place: int, box: dict[int, list], *kinds: int) -> Iterator[tuple]:
@@ -765,14 +778,16 @@ def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: st
         top, wide = frequent_words(rows, parts, most, seed)
         top = Shared(spark, top)
         first = read_chunks(rows, parts, top, wide, seed)
-        first = saved(exchanged(first, parts, lambda place, box: gathered(place, box, parts, top.value, wide)), "pairs")  # noqa: B023
+        first = saved_by_kind(exchanged(first, parts, lambda place, box: gathered(place, box, parts, top.value, wide)), "pairs")  # noqa: B023
         _forget(spark)
-        if not added(first, CLASH)[0]:
+        if CLASH not in first or not added(first[CLASH], CLASH)[0]:
             break
-        dropped(first)
+        dropped(*first.values())
     else:
         raise ValueError("different words share a 64-bit name under each of nine seeds")
-    begun = saved(exchanged(of(first, ASK, MANY), parts, answered), "words")
+    none = spark.createDataFrame([], MESSAGE)
+    begun = saved(exchanged(first.get(ASK, none).unionByName(first.get(MANY, none)), parts, answered), "words")
+    dropped(*(first[kind] for kind in (ASK, MANY) if kind in first))
     counts, held, state, totals = added(begun, COUNTS), added(begun, HELD_IN_ALL), begun, []
     for number in range(BURN + SAMPLES):
         given = (counts[0], *held)
@@ -786,7 +801,8 @@ def score_by_word_contexts(docs: DataFrame, id_col: str = "doc_id", text_col: st
     told_of = saved(exchanged(of(state, MANY, DISHES).unionByName(of(begun, LIST)), parts, told_all), "told")
     dropped(begun, state)
     _forget(spark)
-    last = exchanged(told_of.unionByName(of(first, KEPT, ROWS)), parts, lambda place, box: scored_pairs(place, box, parts, top.value, wide, totals[BURN:], counts))
+    kept = told_of.unionByName(first.get(KEPT, none)).unionByName(first.get(ROWS, none))
+    last = exchanged(kept, parts, lambda place, box: scored_pairs(place, box, parts, top.value, wide, totals[BURN:], counts))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     batches = lambda found: (pa.RecordBatch.from_arrays(list(a), names=names) for a in found)
